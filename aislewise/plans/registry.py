@@ -20,44 +20,47 @@ STORE_CITY = "NATION_15"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _q(op: Callable[[RetailTables], DataFrame]) -> Query:
+# name -> operator over canonical tables, with the default parameters
+OPS: dict[str, Callable[[RetailTables], DataFrame]] = {
+    "daily_visitors": lambda t: footfall.daily_visitors(t.geo),
+    "payment_mix": lambda t: sales.payment_mix(t.sales),
+    "top_revenue_days": lambda t: sales.top_revenue_days(t.sales),
+    "basket_by_dwell_bucket": lambda t: sales.basket_by_dwell_bucket(t.sales),
+    "traffic_heatmap": lambda t: footfall.traffic_heatmap(t.geo),
+    "market_saturation": lambda t: market.market_saturation(t.city, t.branches),
+    "visitor_roster": lambda t: entities.visitor_roster(t.sales, t.geo),
+    "staff_roster": lambda t: entities.staff_roster(t.geo),
+    "classify_entities": lambda t: entities.classify_entities(t.geo, t.sales),
+    "signal_accuracy": lambda t: entities.signal_accuracy(t.geo),
+    "signal_accuracy_by_role": lambda t: entities.signal_accuracy_by_role(t.geo),
+    "impute_area": lambda t: entities.impute_area(t.geo),
+    "daily_visit_distribution": lambda t: sales.daily_visit_distribution(t.sales),
+    "capture_rate": lambda t: operations.capture_rate(t.geo),
+    "ticket_outliers": lambda t: sales.ticket_outliers(t.sales),
+    "whale_demographics": lambda t: sales.whale_demographics(t.sales, t.geo),
+    "devices_with_role": lambda t: operations.devices_with_role(t.geo),
+    "devices_by_pattern": lambda t: operations.devices_by_pattern(t.geo),
+    "missed_deliveries": lambda t: operations.missed_deliveries(t.geo),
+    "top_frequent_customers": lambda t: footfall.top_frequent_customers(t.geo),
+    "top_spenders": lambda t: sales.top_spenders(t.sales),
+    "foot_traffic": lambda t: footfall.foot_traffic(t.geo, t.sales),
+    "basket_mix_peak_offpeak": lambda t: sales.basket_mix_peak_offpeak(t.sales),
+    "staffing_gap": lambda t: operations.staffing_gap(t.geo, t.sales),
+    "weekly_visitors": lambda t: footfall.weekly_visitors(t.geo),
+    "dwell_vs_spend": lambda t: sales.dwell_vs_spend(t.sales),
+    "estimated_households": lambda t: market.estimated_households(t.city, STORE_CITY),
+    "residents_per_branch": lambda t: market.residents_per_branch(t.branches, STORE_CITY, city=t.city),
+    "dwell_spend_regression": lambda t: regression.dwell_spend_regression(t.sales),
+    "weekly_trend_regression": lambda t: regression.weekly_trend_regression(t.geo),
+    "market_share": lambda t: market.market_share(t.sales, t.city, STORE_CITY),
+}
+
+
+def _on_driver_tables(op: Callable[[RetailTables], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return op(derive_from_driver_tables(spark, sf_dir))
 
-    run.__doc__ = op.__doc__
     return run
 
 
-QUERIES: dict[str, Query] = {
-    "daily_visitors": _q(lambda t: footfall.daily_visitors(t.geo)),
-    "payment_mix": _q(lambda t: sales.payment_mix(t.sales)),
-    "top_revenue_days": _q(lambda t: sales.top_revenue_days(t.sales)),
-    "basket_by_dwell_bucket": _q(lambda t: sales.basket_by_dwell_bucket(t.sales)),
-    "traffic_heatmap": _q(lambda t: footfall.traffic_heatmap(t.geo)),
-    "market_saturation": _q(lambda t: market.market_saturation(t.city, t.branches)),
-    "visitor_roster": _q(lambda t: entities.visitor_roster(t.sales, t.geo)),
-    "staff_roster": _q(lambda t: entities.staff_roster(t.geo)),
-    "classify_entities": _q(lambda t: entities.classify_entities(t.geo, t.sales)),
-    "signal_accuracy": _q(lambda t: entities.signal_accuracy(t.geo)),
-    "signal_accuracy_by_role": _q(lambda t: entities.signal_accuracy_by_role(t.geo)),
-    "impute_area": _q(lambda t: entities.impute_area(t.geo)),
-    "daily_visit_distribution": _q(lambda t: sales.daily_visit_distribution(t.sales)),
-    "capture_rate": _q(lambda t: operations.capture_rate(t.geo)),
-    "ticket_outliers": _q(lambda t: sales.ticket_outliers(t.sales)),
-    "whale_demographics": _q(lambda t: sales.whale_demographics(t.sales, t.geo)),
-    "devices_with_role": _q(lambda t: operations.devices_with_role(t.geo)),
-    "devices_by_pattern": _q(lambda t: operations.devices_by_pattern(t.geo)),
-    "missed_deliveries": _q(lambda t: operations.missed_deliveries(t.geo)),
-    "top_frequent_customers": _q(lambda t: footfall.top_frequent_customers(t.geo)),
-    "top_spenders": _q(lambda t: sales.top_spenders(t.sales)),
-    "foot_traffic": _q(lambda t: footfall.foot_traffic(t.geo, t.sales)),
-    "basket_mix_peak_offpeak": _q(lambda t: sales.basket_mix_peak_offpeak(t.sales)),
-    "staffing_gap": _q(lambda t: operations.staffing_gap(t.geo, t.sales)),
-    "weekly_visitors": _q(lambda t: footfall.weekly_visitors(t.geo)),
-    "dwell_vs_spend": _q(lambda t: sales.dwell_vs_spend(t.sales)),
-    "estimated_households": _q(lambda t: market.estimated_households(t.city, STORE_CITY)),
-    "residents_per_branch": _q(lambda t: market.residents_per_branch(t.branches, STORE_CITY, city=t.city)),
-    "dwell_spend_regression": _q(lambda t: regression.dwell_spend_regression(t.sales)),
-    "weekly_trend_regression": _q(lambda t: regression.weekly_trend_regression(t.geo)),
-    "market_share": _q(lambda t: market.market_share(t.sales, t.city, STORE_CITY)),
-}
+QUERIES: dict[str, Query] = {name: _on_driver_tables(op) for name, op in OPS.items()}
