@@ -8,9 +8,10 @@ one aggregation buffer and merges them in a single final task. Here:
 
 1. rows collapse to (value, multiplicity) with a partially aggregated group-by;
 2. ``percentile_approx`` supplies ``pivots - 1`` cut points (one small row);
-3. each distinct value gets the bucket ``#cut points < value``, which is
-   monotone in the value, so bucket totals (at most ``pivots`` rows) give every
-   bucket's rank range exactly;
+3. each distinct value gets the bucket ``#cut points < value`` (a binary search
+   written as a nested CASE over the sorted cut points: log2(pivots) comparisons,
+   compiled by whole-stage codegen). The bucket is monotone in the value, so
+   bucket totals (at most ``pivots`` rows) give every bucket's rank range exactly;
 4. only the bucket holding each wanted rank is sorted, and only its distinct
    values, so a task sees about ``distinct values / pivots`` rows.
 
@@ -21,17 +22,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _count_below(x: Column, cuts: Column, lo: int, hi: int) -> Column:
+    """Number of entries of the sorted array ``cuts`` that are < x, knowing it lies in [lo, hi]."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(cuts[mid] < x, _count_below(x, cuts, mid + 1, hi)).otherwise(_count_below(x, cuts, lo, mid))
+
+
 def percentiles(
     df: DataFrame,
     col: str,
     ps: Sequence[float],
     names: Sequence[str],
     exact: bool = True,
-    pivots: int = 256,
+    pivots: int = 128,
     accuracy: int = 10000,
 ) -> DataFrame:
     """One-row DataFrame with a DOUBLE column per requested percentile (NULLs ignored)."""
@@ -47,7 +56,7 @@ def percentiles(
     counts = vals.groupBy("__x").agg(F.count(F.lit(1)).alias("__c"))
     # head is a global aggregate: exactly one row, so broadcasting it is bounded.
     bucketed = counts.crossJoin(F.broadcast(head.select("__piv"))).select(
-        "__x", "__c", F.size(F.filter("__piv", lambda p: p < F.col("__x"))).alias("__bk")
+        "__x", "__c", _count_below(F.col("__x"), F.col("__piv"), 0, pivots - 1).alias("__bk")
     )
     totals = bucketed.groupBy("__bk").agg(F.sum("__c").alias("__bc"))  # at most `pivots` rows
     w_all = Window.orderBy("__bk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
