@@ -7,7 +7,9 @@ Spark's own ``percentile_disc`` keeps every distinct value of the column in
 one aggregation buffer and merges them in a single final task. Here:
 
 1. rows collapse to (value, multiplicity) with a partially aggregated group-by;
-2. ``percentile_approx`` supplies ``pivots - 1`` cut points (one small row);
+   every later step reads this table, so the input is scanned once;
+2. ``percentile_approx`` over the distinct values supplies ``pivots - 1`` cut
+   points (one small row), so buckets hold similar numbers of distinct values;
 3. each distinct value gets the bucket ``#cut points < value`` (a binary search
    written as a nested CASE over the sorted cut points: log2(pivots) comparisons,
    compiled by whole-stage codegen). The bucket is monotone in the value, so
@@ -52,8 +54,8 @@ def percentiles(
         return vals.agg(approx.alias("__q")).select(*[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
 
     cuts = [i / pivots for i in range(1, pivots)]
-    head = vals.agg(F.percentile_approx("__x", cuts, accuracy).alias("__piv"), F.count(F.lit(1)).alias("__n"))
     counts = vals.groupBy("__x").agg(F.count(F.lit(1)).alias("__c"))
+    head = counts.agg(F.percentile_approx("__x", cuts, accuracy).alias("__piv"), F.sum("__c").alias("__n"))
     # head is a global aggregate: exactly one row, so broadcasting it is bounded.
     bucketed = counts.crossJoin(F.broadcast(head.select("__piv"))).select(
         "__x", "__c", _count_below(F.col("__x"), F.col("__piv"), 0, pivots - 1).alias("__bk")

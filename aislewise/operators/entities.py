@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aislewise.functions.numeric import ratio, round_half_up
 from aislewise.functions.timeparts import whole_minutes
+from aislewise.session import materialize
 from aislewise.sources.schemas import NO_PHONE, STAFF_AREA_ROLE, STAFF_ROLES, STATIC_ROLE_AREA, VISITOR_ROLES
 
 
@@ -84,6 +85,7 @@ def classify_entities(
     max_avg_gap_days: float = 12,
     min_tenure_days: int = 60,
     min_visits: int = 10,
+    materialize_profiles: bool = True,
 ) -> DataFrame:
     """Classify every device into a staff or visitor role, plus one ``no_phone`` row per
     anonymous ticket. Rules, first match wins:
@@ -99,8 +101,14 @@ def classify_entities(
     The mean of daily hours and the mean gap are tested exactly on integers: the mean daily
     hours is ``minutes / (60 * days)`` and consecutive day gaps telescope to
     ``(last_day - first_day) / (days - 1)``.
+
+    The device profile (one row per device) is read twice, for the rules and for the
+    supermarket's first-seen time; ``materialize_profiles`` writes it once to the checkpoint
+    folder so the pings are aggregated once.
     """
     p = device_profiles(geo)
+    if materialize_profiles:
+        p = materialize(p)
     supermarket_first = p.where(F.col("main_area") == "SUPERMARKET").agg(
         F.min("first_seen").alias("__sup_first"),
         F.count_if(F.col("first_seen").isNull()).alias("__sup_null"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from aislewise.functions.numeric import MONEY, money_avg, money_sum, ratio, round_half_up, share_pct
 from aislewise.functions.quantiles import percentiles
 from aislewise.functions.timeparts import hour_of_day, weekday_index
-from aislewise.operators.sessions import sessionize
+from aislewise.operators.sessions import session_summary
 from aislewise.sources.schemas import SEGMENTS, TIME_CATEGORIES, WALK_IN
 
 
@@ -48,9 +48,9 @@ def daily_visit_distribution(sales: DataFrame, gap_minutes: int = 60, id_col: st
     distribution. Tickets without a customer form one group per day, as in the original."""
     rows = sales.select(F.col(id_col).alias("__id"), "timestamp", F.to_date("timestamp").alias("visit_date"))
     visits = (
-        sessionize(rows, ["__id", "visit_date"], "timestamp", gap_minutes)
+        session_summary(rows, ["__id", "visit_date"], "timestamp", gap_minutes)
         .groupBy("__id", "visit_date")
-        .agg(F.sum("session_start").cast("long").alias("visits_in_one_day"))
+        .agg(F.count(F.lit(1)).alias("visits_in_one_day"))
     )
     cases = visits.groupBy("visits_in_one_day").agg(F.count(F.lit(1)).alias("number_of_cases"))
     everything = Window.partitionBy()  # over the distribution rows only
@@ -88,13 +88,13 @@ def ticket_outliers(sales: DataFrame, k: float = 1.5, exact: bool = True) -> Dat
 def whale_demographics(sales: DataFrame, geo: DataFrame, k: float = 1.5, exact: bool = True) -> DataFrame:
     """Tickets above the fence broken down by the role of the device that paid.
 
-    Whale tickets are first reduced to one row per customer, so the join with the
-    device roles sees each customer once however many whale tickets it has, and
-    anonymous tickets never enter the join at all. A device listed with two roles
-    counts under both, as with the original left join.
+    Whale tickets are first reduced to one row per customer (anonymous tickets to a single
+    row), so the join with the device roles sees each customer once however many whale
+    tickets it has, and no key is hot. A device listed with two roles counts under both, as
+    with the original left join; a missing or NULL role is reported as the walk-in label.
     """
     fence = iqr_fence(sales, k, exact).select("upper_fence")
-    whales = sales.select("customer_id", "sale_id", "total").crossJoin(F.broadcast(fence)).where(
+    whales = sales.select("customer_id", "sale_id", "total").crossJoin(F.broadcast(fence)).where(  # one row
         F.col("total") > F.col("upper_fence")
     )
     per_customer = whales.groupBy("customer_id").agg(
@@ -104,14 +104,8 @@ def whale_demographics(sales: DataFrame, geo: DataFrame, k: float = 1.5, exact:
         F.max("total").alias("mx"),
     )
     roles = geo.where(F.col("device_id").isNotNull()).select("device_id", "role").distinct()
-    identified = per_customer.where(F.col("customer_id").isNotNull()).join(
-        roles, F.col("customer_id") == F.col("device_id"), "left"
-    )
-    anonymous = per_customer.where(F.col("customer_id").isNull()).withColumn("role", F.lit(None).cast("string"))
-    cols = ["role", "n", "s", "nt", "mx"]
     by_role = (
-        identified.select(*cols)
-        .unionByName(anonymous.select(*cols))
+        per_customer.join(roles, F.col("customer_id") == F.col("device_id"), "left")
         .groupBy(F.coalesce(F.col("role"), F.lit(WALK_IN)).alias("customer_role"))
         .agg(
             F.sum("n").alias("total_txns"),

@@ -6,10 +6,18 @@ timestamps always share a session.
 
 The textbook form is ``lag`` plus a running ``sum`` over ``PARTITION BY key
 ORDER BY ts``. That puts every row of a key into one task: a device that sends
-a third of all pings would be sorted by a single task. Here the window is
-partitioned by (key, time bucket) instead, and sessions that cross a bucket
-edge are stitched with a second window over the per-bucket summary, which has
-one row per (key, bucket) and so stays small even for the hottest key.
+a third of all pings would be sorted by a single task. Here it is done in two
+levels, with no join back to the rows:
+
+1. rows are windowed per (key, time bucket) and reduced to *local* sessions
+   (begin, end, row count) inside each bucket;
+2. local sessions of a key are sessionized again by the same rule, using
+   ``end`` of the previous local session and ``begin`` of the next. Local
+   sessions of one key number at most about (time span / bucket) x
+   (bucket / gap + 1), so this window is bounded by time, not by row count.
+
+Two local sessions in one bucket are always more than the gap apart, so step 2
+only merges sessions across a bucket edge, and the result equals the textbook one.
 """
 
 from __future__ import annotations
@@ -28,71 +36,76 @@ def _hour_bucket(ts: Column, bucket_hours: int) -> Column:
     return F.floor(hours / F.lit(bucket_hours)).cast("long")
 
 
-def sessionize(
+def _number_sessions(df: DataFrame, part: list[str], begin: str, end: str, gap_minutes: int, out: str) -> DataFrame:
+    """Within ``part`` ordered by ``begin``: ``out`` = running count of starts, where a row starts a
+    session if the previous row's ``end`` is missing or more than ``gap_minutes`` whole minutes back."""
+    w = Window.partitionBy(*part).orderBy(begin)
+    prev_end = F.lag(F.col(end)).over(w)
+    starts = (prev_end.isNull() | (whole_minutes(prev_end, F.col(begin)) > F.lit(gap_minutes))).cast("int")
+    # Default frame (RANGE .. CURRENT ROW): rows with equal ``begin`` are peers and share a number.
+    return df.withColumn("__start", starts).withColumn(out, F.sum("__start").over(w).cast("long"))
+
+
+def session_summary(
     df: DataFrame,
     keys: Sequence[str],
     ts: str = "timestamp",
     gap_minutes: int = 60,
     bucket_hours: int = 1,
 ) -> DataFrame:
-    """Return ``df`` with three extra columns.
-
-    ``session_start``  1 when the row opens a session, else 0 (one per session);
-    ``session_bucket``, ``session_seq``  together identify the session within ``keys``.
+    """One row per session: ``keys``, session_begin, session_end, n_rows.
 
     Rows whose key columns are NULL form one key, as in ``PARTITION BY``.
     """
-    t = F.col(ts)
-    key = F.struct(*[F.col(k) for k in keys])
-    w_in = Window.partitionBy("__key", "__b").orderBy(t)
-    rows = df.withColumn("__key", key).withColumn("__b", _hour_bucket(t, bucket_hours)).withColumn("__prev", F.lag(t).over(w_in))
-    rows = rows.withColumn(
-        "__new", (F.col("__prev").isNull() | (whole_minutes("__prev", t) > F.lit(gap_minutes))).cast("int")
-    )
-    # Default frame (RANGE .. CURRENT ROW): rows with equal timestamps are peers and share a number.
-    rows = rows.withColumn("__seq", F.sum("__new").over(w_in).cast("long"))
-
-    summary = rows.groupBy("__key", "__b").agg(
-        F.min(t).alias("__first"), F.max(t).alias("__last"), F.max("__seq").alias("__n")
+    rows = df.select(F.struct(*[F.col(k) for k in keys]).alias("__key"), F.col(ts).alias("__t"))
+    rows = rows.withColumn("__b", _hour_bucket(F.col("__t"), bucket_hours))
+    rows = _number_sessions(rows, ["__key", "__b"], "__t", "__t", gap_minutes, "__seq")
+    # Grouping by (key, bucket, seq) reuses the (key, bucket) partitioning of the window: no shuffle.
+    local = rows.groupBy("__key", "__b", "__seq").agg(
+        F.min("__t").alias("__begin"), F.max("__t").alias("__end"), F.count(F.lit(1)).alias("__n")
     )
-    w_b = Window.partitionBy("__key").orderBy("__b")
-    prev_last = F.lag("__last").over(w_b)
-    summary = summary.withColumn(
-        "__cont", prev_last.isNotNull() & (whole_minutes(prev_last, F.col("__first")) <= F.lit(gap_minutes))
-    )
-    # The last session of a bucket is its own unless the bucket holds one session that continues
-    # from the bucket before; the first session of a continuing bucket belongs to the latest such
-    # "anchor" bucket before it.
-    anchor_here = F.when(~F.col("__cont") | (F.col("__n") > 1), F.struct(F.col("__b").alias("b"), F.col("__n").alias("n")))
-    anchor = F.last(anchor_here, ignorenulls=True).over(w_b.rowsBetween(Window.unboundedPreceding, -1))
-    summary = summary.select("__key", "__b", "__cont", F.when(F.col("__cont"), anchor).alias("__anchor"))
-
-    joined = rows.join(summary, on=["__key", "__b"], how="inner")
-    continues_first = (F.col("__seq") == 1) & F.col("__cont")
-    return joined.select(
-        *df.columns,
-        F.when(continues_first, F.lit(0)).otherwise(F.col("__new")).alias("session_start"),
-        F.when(continues_first, F.col("__anchor.b")).otherwise(F.col("__b")).alias("session_bucket"),
-        F.when(continues_first, F.col("__anchor.n")).otherwise(F.col("__seq")).alias("session_seq"),
+    local = _number_sessions(local, ["__key"], "__begin", "__end", gap_minutes, "__sid")
+    sessions = local.groupBy("__key", "__sid").agg(
+        F.min("__begin").alias("session_begin"), F.max("__end").alias("session_end"), F.sum("__n").alias("n_rows")
     )
+    return sessions.select(*[F.col("__key")[k].alias(k) for k in keys], "session_begin", "session_end", "n_rows")
 
 
-def session_summary(
+def sessionize(
     df: DataFrame,
     keys: Sequence[str],
     ts: str = "timestamp",
     gap_minutes: int = 60,
     bucket_hours: int = 1,
 ) -> DataFrame:
-    """One row per session: keys, session_bucket, session_seq, session_begin, session_end, n_rows."""
-    rows = sessionize(df.select(*keys, ts), keys, ts, gap_minutes, bucket_hours)
-    return rows.groupBy(*keys, "session_bucket", "session_seq").agg(
-        F.min(ts).alias("session_begin"), F.max(ts).alias("session_end"), F.count(F.lit(1)).alias("n_rows")
+    """Row-level labels: ``df`` plus ``session_begin``, the first timestamp of the row's session
+    (unique within ``keys``; the rows with ``ts == session_begin`` open the session).
+
+    Sessions come from :func:`session_summary`; each row is attached to the session of its key
+    that covers it, with an equi-join on (key, hour bucket) against every bucket a session spans.
+    Prefer ``session_summary`` when only per-session figures are needed: it reads the rows once.
+    """
+    sessions = session_summary(df, keys, ts, gap_minutes, bucket_hours)
+    spans = sessions.select(
+        F.struct(*[F.col(k) for k in keys]).alias("__skey"),
+        "session_begin",
+        "session_end",
+        F.explode(
+            F.sequence(_hour_bucket(F.col("session_begin"), bucket_hours), _hour_bucket(F.col("session_end"), bucket_hours))
+        ).alias("__sb"),
+    )
+    rows = df.withColumn("__key", F.struct(*[F.col(k) for k in keys])).withColumn("__b", _hour_bucket(F.col(ts), bucket_hours))
+    cond = (
+        (F.col("__key") == F.col("__skey"))
+        & (F.col("__b") == F.col("__sb"))
+        & (F.col(ts) >= F.col("session_begin"))
+        & (F.col(ts) <= F.col("session_end"))
     )
+    return rows.join(spans, cond, "inner").select(*df.columns, "session_begin")
 
 
 def sessionize_naive(df: DataFrame, keys: Sequence[str], ts: str = "timestamp", gap_minutes: int = 60) -> DataFrame:
-    """Textbook lag + running-sum form, one window partition per key. Used to test ``sessionize``."""
+    """Textbook lag + running-sum form, one window partition per key. Used to test the above."""
     w = Window.partitionBy(*keys).orderBy(ts)
     prev = F.lag(F.col(ts)).over(w)
     flagged = df.withColumn("__new", (prev.isNull() | (whole_minutes(prev, F.col(ts)) > gap_minutes)).cast("int"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "aislewise") -> SparkSession:
@@ -32,13 +32,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this must already be set to shared storage. Only when it is
     unset (local tests) do we create a scratch folder and register it.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    path = tempfile.mkdtemp(prefix="aislewise-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured:
+        configured = sc.getCheckpointDir()
+    if not configured:
+        configured = tempfile.mkdtemp(prefix="aislewise-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(configured)
+    return configured
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the checkpoint folder and read it back, cutting its lineage.
+
+    Used for small derived tables (one row per device, say) that a plan reads more than once;
+    Spark would otherwise recompute them from the raw rows for every reference.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

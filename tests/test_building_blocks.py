@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from aislewise.functions.quantiles import percentiles
 from aislewise.functions.timeparts import sunday_week, sunday_week_start
-from aislewise.operators.sessions import sessionize
+from aislewise.operators.sessions import session_summary, sessionize
 
 
 def brute_sessions(rows, gap):
@@ -45,13 +45,13 @@ def test_sessionize_matches_brute_force(spark, seed, gap, bucket_hours):
             t = t + dt.timedelta(minutes=step, seconds=rnd.choice([0, 0, 30, 59]), microseconds=rnd.choice([0, 999999]))
             rows.append((k, t))
     df = spark.createDataFrame(rows, "k string, ts timestamp_ntz")
-    s = sessionize(df, ["k"], "ts", gap, bucket_hours)
-    got = {
-        (r["k"], r["first"]): r["n"]
-        for r in s.groupBy("k", "session_bucket", "session_seq").agg(F.min("ts").alias("first"), F.count("*").alias("n")).collect()
-    }
-    assert got == brute_sessions(rows, gap)
-    assert s.agg(F.sum("session_start")).first()[0] == len(got)
+    expected = brute_sessions(rows, gap)
+    summary = session_summary(df, ["k"], "ts", gap, bucket_hours).collect()
+    assert {(r["k"], r["session_begin"]): r["n_rows"] for r in summary} == expected
+    labelled = sessionize(df, ["k"], "ts", gap, bucket_hours)
+    assert labelled.count() == len(rows)
+    got = {(r["k"], r["session_begin"]): r["n"] for r in labelled.groupBy("k", "session_begin").agg(F.count("*").alias("n")).collect()}
+    assert got == expected
 
 
 def test_percentiles_match_brute_force(spark):
