@@ -24,16 +24,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _count_below(x: Column, cuts: Column, lo: int, hi: int) -> Column:
-    """Number of entries of the sorted array ``cuts`` that are < x, knowing it lies in [lo, hi]."""
+def _count_below(x: str, cuts: str, lo: int, hi: int) -> str:
+    """SQL for the number of entries of the sorted array ``cuts`` that are < x, knowing it lies
+    in [lo, hi]: a binary search as nested CASE (one expression, built in one call)."""
     if lo == hi:
-        return F.lit(lo)
+        return str(lo)
     mid = (lo + hi) // 2
-    return F.when(cuts[mid] < x, _count_below(x, cuts, mid + 1, hi)).otherwise(_count_below(x, cuts, lo, mid))
+    return f"CASE WHEN {cuts}[{mid}] < {x} THEN {_count_below(x, cuts, mid + 1, hi)} ELSE {_count_below(x, cuts, lo, mid)} END"
 
 
 def percentiles(
@@ -58,7 +59,7 @@ def percentiles(
     head = counts.agg(F.percentile_approx("__x", cuts, accuracy).alias("__piv"), F.sum("__c").alias("__n"))
     # head is a global aggregate: exactly one row, so broadcasting it is bounded.
     bucketed = counts.crossJoin(F.broadcast(head.select("__piv"))).select(
-        "__x", "__c", _count_below(F.col("__x"), F.col("__piv"), 0, pivots - 1).alias("__bk")
+        "__x", "__c", F.expr(_count_below("__x", "__piv", 0, pivots - 1)).alias("__bk")
     )
     totals = bucketed.groupBy("__bk").agg(F.sum("__c").alias("__bc"))  # at most `pivots` rows
     w_all = Window.orderBy("__bk").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -6,6 +6,7 @@ applies one operator with its default parameters over the whole tables.
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,9 +57,23 @@ OPS: dict[str, Callable[[RetailTables], DataFrame]] = {
 }
 
 
+_TABLES: dict[tuple[int, str], tuple[weakref.ref, RetailTables]] = {}
+
+
+def driver_tables(spark: SparkSession, sf_dir: str) -> RetailTables:
+    """Derived tables for ``sf_dir``, built once per session: Parquet footers are read once and
+    the same lazy DataFrames serve every query."""
+    key = (id(spark), sf_dir)
+    hit = _TABLES.get(key)
+    if hit is None or hit[0]() is not spark:
+        hit = (weakref.ref(spark), derive_from_driver_tables(spark, sf_dir))
+        _TABLES[key] = hit
+    return hit[1]
+
+
 def _on_driver_tables(op: Callable[[RetailTables], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return op(derive_from_driver_tables(spark, sf_dir))
+        return op(driver_tables(spark, sf_dir))
 
     return run
 

@@ -11,20 +11,20 @@ pruning still reach the Parquet readers.
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from aislewise.sources import schemas
 
 
-@dataclass(frozen=True)
 class RetailTables:
-    geo: DataFrame
-    sales: DataFrame
-    city: DataFrame
-    branches: DataFrame
+    """The four canonical tables: ``geo``, ``sales``, ``city`` and ``branches``."""
+
+    def __init__(self, geo: DataFrame, sales: DataFrame, city: DataFrame, branches: DataFrame):
+        self.geo = geo
+        self.sales = sales
+        self.city = city
+        self.branches = branches
 
 
 def validate(df: DataFrame, name: str) -> DataFrame:
@@ -75,90 +75,104 @@ _STAFF_HOME_AREA = {
 }
 
 
-def _pick(index: Column, values: tuple[str, ...]) -> Column:
-    out = None
-    for i, v in enumerate(values):
-        out = F.when(index == i, F.lit(v)) if out is None else out.when(index == i, F.lit(v))
-    return out
-
-
-def _add_seconds(day: Column, seconds: Column) -> Column:
-    return F.timestamp_add("SECOND", seconds, day.cast("timestamp_ntz"))
+def _case(subject: str, mapping, default: str = "NULL") -> str:
+    whens = " ".join(f"WHEN {k!r} THEN {v!r}" if isinstance(k, str) else f"WHEN {k} THEN {v!r}" for k, v in mapping)
+    return f"CASE {subject} {whens} ELSE {default} END"
+
+
+# The derivation is written as SQL expressions: one ``selectExpr`` per table builds the whole
+# projection in a single call, and Catalyst sees the same plan as with Column objects.
+_SOD = "CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS BIGINT)"
+_VISIT_SOD = f"(28800 + (user_id % 10) * 3600 + CAST(floor({_SOD} / 12) AS BIGINT))"
+_STAFF_ROLE = _case("CAST(floor(user_id / 5) AS BIGINT) % 7", enumerate(_STAFF_ROLE_BY_INDEX))
+_STRETCHED_DAY = "date_add(DATE'2024-01-01', 3 * datediff(to_date(ts), DATE'2024-01-01'))"
+
+GEOLOCATION_EXPRS = (
+    "CAST(user_id AS STRING) AS device_id",
+    f"""CASE WHEN user_id % 5 = 0 THEN timestampadd(SECOND, {_SOD}, CAST(to_date(ts) AS TIMESTAMP_NTZ))
+             WHEN user_id % 3 = 0 THEN timestampadd(SECOND, {_VISIT_SOD}, CAST(to_date(ts) AS TIMESTAMP_NTZ))
+             ELSE timestampadd(SECOND, {_VISIT_SOD}, CAST({_STRETCHED_DAY} AS TIMESTAMP_NTZ)) END AS timestamp""",
+    f"""CASE WHEN user_id % 5 = 0 AND event_id % 5 <> 0
+               THEN {_case(_STAFF_ROLE, _STAFF_HOME_AREA.items(), "'SUPERMARKET'")}
+             WHEN event_id % 10 <= 3 THEN 'SUPERMARKET'
+             WHEN event_id % 10 <= 7 THEN 'CASH_REGISTERS'
+             WHEN event_id % 10 = 8 THEN 'PARKING'
+             ELSE 'BUTCHERY' END AS area""",
+    "CAST(value AS DOUBLE) AS accuracy_m",
+    f"""CASE WHEN user_id % 5 = 0 THEN {_STAFF_ROLE}
+             WHEN user_id % 50 = 49 THEN CAST(NULL AS STRING)
+             ELSE {_case("user_id % 3", enumerate(_VISITOR_ROLE_BY_INDEX))} END AS role""",
+)
+
+_TOT = "(floor(o_totalprice * (o_custkey % 5 + 1) * (CASE WHEN o_orderkey % 29 = 0 THEN 5 ELSE 1 END) / 12) / 100)"
+LOG_SALES_EXPRS = (
+    "concat('S', CAST(o_orderkey AS STRING)) AS sale_id",
+    "CASE WHEN o_custkey % 3 = 2 THEN CAST(NULL AS STRING) ELSE CAST(o_custkey AS STRING) END AS customer_id",
+    "timestampadd(SECOND, 28800 + (o_orderkey * 7919) % 50400, CAST(o_orderdate AS TIMESTAMP_NTZ)) AS timestamp",
+    f"CAST({_TOT} AS DOUBLE) AS total",
+    f"{_case('o_orderpriority', _PAYMENT_BY_PRIORITY.items())} AS payment_method",
+    f"CASE WHEN o_custkey % 3 = 2 THEN CAST(NULL AS INT) ELSE CAST(floor({_TOT} / 10) + o_orderkey % 17 AS INT) END AS dwell_minutes",
+)
 
 
 def geolocation_from_events(events: DataFrame) -> DataFrame:
-    uid = F.col("user_id")
-    d = F.to_date("ts")
-    sod = (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")).cast("bigint")
-    visit_sod = F.lit(28800) + (uid % 10) * 3600 + F.floor(sod / 12).cast("bigint")
-    staff = uid % 5 == 0
-    staff_role = _pick(F.floor(uid / 5).cast("bigint") % 7, _STAFF_ROLE_BY_INDEX)
-    visitor_role = F.when(uid % 50 == 49, F.lit(None).cast("string")).otherwise(_pick(uid % 3, _VISITOR_ROLE_BY_INDEX))
-    role = F.when(staff, staff_role).otherwise(visitor_role)
-    stretched_day = F.date_add(F.lit("2024-01-01").cast("date"), 3 * F.datediff(d, F.lit("2024-01-01").cast("date")))
-    ts = (
-        F.when(staff, _add_seconds(d, sod))
-        .when(uid % 3 == 0, _add_seconds(d, visit_sod))
-        .otherwise(_add_seconds(stretched_day, visit_sod))
-    )
-    staff_area = F.coalesce(
-        *[F.when(staff_role == r, F.lit(a)) for r, a in _STAFF_HOME_AREA.items()], F.lit("SUPERMARKET")
-    )
-    k = F.col("event_id") % 10
-    other_area = (
-        F.when(k <= 3, F.lit("SUPERMARKET")).when(k <= 7, F.lit("CASH_REGISTERS")).when(k == 8, F.lit("PARKING")).otherwise(F.lit("BUTCHERY"))
-    )
-    area = F.when(staff & (F.col("event_id") % 5 != 0), staff_area).otherwise(other_area)
-    return events.select(
-        uid.cast("string").alias("device_id"),
-        ts.alias("timestamp"),
-        area.alias("area"),
-        F.col("value").cast("double").alias("accuracy_m"),
-        role.alias("role"),
-    )
+    return events.selectExpr(*GEOLOCATION_EXPRS)
 
 
 def log_sales_from_orders(orders: DataFrame) -> DataFrame:
-    key = F.col("o_orderkey")
-    cust = F.col("o_custkey")
-    boost = F.when(key % 29 == 0, F.lit(5)).otherwise(F.lit(1))
-    tot = F.floor(F.col("o_totalprice") * (cust % 5 + 1) * boost / 12) / 100
-    customer = F.when(cust % 3 == 2, F.lit(None).cast("string")).otherwise(cust.cast("string"))
-    seconds = F.lit(28800) + (key * 7919) % 50400
-    payment = F.coalesce(*[F.when(F.col("o_orderpriority") == p, F.lit(m)) for p, m in _PAYMENT_BY_PRIORITY.items()])
-    dwell = F.when(cust % 3 == 2, F.lit(None).cast("int")).otherwise((F.floor(tot / 10) + key % 17).cast("int"))
-    return orders.select(
-        F.concat(F.lit("S"), key.cast("string")).alias("sale_id"),
-        customer.alias("customer_id"),
-        F.timestamp_add("SECOND", seconds, F.col("o_orderdate").cast("timestamp_ntz")).alias("timestamp"),
-        tot.cast("double").alias("total"),
-        payment.alias("payment_method"),
-        dwell.alias("dwell_minutes"),
-    )
+    return orders.selectExpr(*LOG_SALES_EXPRS)
 
 
 def city_population_from_nation(nation: DataFrame) -> DataFrame:
-    return nation.select(
-        F.concat(F.lit(" "), F.col("n_name"), F.lit(" ")).alias("city_name"),
-        (F.col("n_nationkey") * 1500).cast("bigint").alias("total_population"),
+    return nation.selectExpr(
+        "concat(' ', n_name, ' ') AS city_name", "CAST(n_nationkey * 1500 AS BIGINT) AS total_population"
     )
 
 
 def supermarkets_from_supplier(supplier: DataFrame, nation: DataFrame) -> DataFrame:
     # nation is a fixed 25-row dimension; Catalyst broadcasts it by its file size.
     joined = supplier.join(nation, supplier["s_nationkey"] == nation["n_nationkey"])
-    city = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.col("n_name"), F.lit(" "))).otherwise(F.col("n_name"))
-    return joined.select(F.col("s_suppkey").cast("string").alias("branch_id"), city.alias("city"))
+    return joined.selectExpr(
+        "CAST(s_suppkey AS STRING) AS branch_id",
+        "CASE WHEN s_suppkey % 2 = 0 THEN concat(n_name, ' ') ELSE n_name END AS city",
+    )
 
 
-def derive_from_driver_tables(spark: SparkSession, sf_dir: str) -> RetailTables:
-    def read(name: str) -> DataFrame:
-        return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+class DriverTables(RetailTables):
+    """The four canonical tables over the driver's files, each built on first use."""
 
-    nation = read("nation")
-    return RetailTables(
-        geo=geolocation_from_events(read("events")),
-        sales=log_sales_from_orders(read("orders")),
-        city=city_population_from_nation(nation),
-        branches=supermarkets_from_supplier(read("supplier"), nation),
-    )
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark = spark
+        self._dir = sf_dir
+        self._built: dict[str, DataFrame] = {}
+
+    def _read(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._spark.read.parquet(os.path.join(self._dir, f"{name}.parquet"))
+        return self._built[name]
+
+    def _once(self, key: str, make) -> DataFrame:
+        if key not in self._built:
+            self._built[key] = make()
+        return self._built[key]
+
+    @property
+    def geo(self) -> DataFrame:
+        return self._once("geo", lambda: geolocation_from_events(self._read("events")))
+
+    @property
+    def sales(self) -> DataFrame:
+        return self._once("sales", lambda: log_sales_from_orders(self._read("orders")))
+
+    @property
+    def city(self) -> DataFrame:
+        return self._once("city", lambda: city_population_from_nation(self._read("nation")))
+
+    @property
+    def branches(self) -> DataFrame:
+        return self._once("branches", lambda: supermarkets_from_supplier(self._read("supplier"), self._read("nation")))
+
+
+def derive_from_driver_tables(spark: SparkSession, sf_dir: str) -> RetailTables:
+    """Lazy canonical tables over the driver's files (a table's files are read when first used)."""
+    return DriverTables(spark, sf_dir)
