@@ -21,6 +21,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "ais
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Many distinct plans run in one session; keep their generated classes compiled.
+        .config("spark.sql.codegen.cache.maxEntries", "4000")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
