@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from aislewise.operators import entities, footfall, market, operations, regression, sales
 from aislewise.sources.tables import RetailTables, derive_from_driver_tables
+from aislewise.streaming import live
 
 # The city the market queries look at. The original studies one town; on the test tables the
 # cities are nation names, and this one has branches at every scale.
@@ -79,3 +80,11 @@ def _on_driver_tables(op: Callable[[RetailTables], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, Query] = {name: _on_driver_tables(op) for name, op in OPS.items()}
+
+# Structured Streaming runs over the events files (availableNow, append mode). Output is what
+# the stream emits: sessions and hours already closed by the 2-hour watermark.
+STREAMING: dict[str, Query] = {
+    "stream_sessions": lambda spark, sf_dir: live.sessions_from_stream(spark, sf_dir),
+    "stream_hourly_visitors": lambda spark, sf_dir: live.hourly_visitors_from_stream(spark, sf_dir),
+}
+QUERIES.update(STREAMING)
