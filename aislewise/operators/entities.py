@@ -37,7 +37,10 @@ def visitor_roster(sales: DataFrame, geo: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("final_user_id"), F.lit(NO_PHONE).alias("customer_type")
     )
     return (
-        visitors.unionByName(unseen).unionByName(anonymous).unionByName(no_device).distinct().orderBy("customer_type")
+        visitors.unionByName(unseen).unionByName(anonymous).unionByName(no_device).distinct()
+        # Ordered by type as in the original; the id as second key lets the range partitioner
+        # split a type (one row per anonymous ticket can be most of the output).
+        .orderBy("customer_type", "final_user_id")
     )
 
 

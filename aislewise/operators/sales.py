@@ -200,5 +200,7 @@ def dwell_vs_spend(sales: DataFrame, min_dwell: int = 1, max_dwell: int = 180) -
             F.col("customer_id").isNotNull() & d.isNotNull() & (d > min_dwell) & (d < max_dwell) & (F.col("total") > 0)
         )
         .select("dwell_minutes", F.col("total").alias("purchase_amount"), round_half_up(F.col("total") / d, 2).alias("dollars_per_minute"))
-        .orderBy("dwell_minutes")
+        # Ordered by dwell as in the original; the amount as second key keeps the range sort
+        # splittable when a few dwell values hold most rows.
+        .orderBy("dwell_minutes", "purchase_amount")
     )

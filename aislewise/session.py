@@ -39,6 +39,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not configured:
         configured = sc.getCheckpointDir()
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (executors write checkpoints there)")
         configured = tempfile.mkdtemp(prefix="aislewise-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(configured)
