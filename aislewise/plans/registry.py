@@ -62,12 +62,13 @@ _TABLES: dict[tuple[int, str], tuple[weakref.ref, RetailTables]] = {}
 
 
 def driver_tables(spark: SparkSession, sf_dir: str) -> RetailTables:
-    """Derived tables for ``sf_dir``, built once per session: Parquet footers are read once and
-    the same lazy DataFrames serve every query."""
+    """Canonical tables for ``sf_dir``, prepared once per session: each is derived from the
+    driver's files once, written as Parquet to the shared checkpoint folder, and every query
+    reads that (an ETL step, as a production deployment would store the canonical tables)."""
     key = (id(spark), sf_dir)
     hit = _TABLES.get(key)
     if hit is None or hit[0]() is not spark:
-        hit = (weakref.ref(spark), derive_from_driver_tables(spark, sf_dir))
+        hit = (weakref.ref(spark), derive_from_driver_tables(spark, sf_dir, materialize=True))
         _TABLES[key] = hit
     return hit[1]
 

@@ -11,6 +11,7 @@ pruning still reach the Parquet readers.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -139,11 +140,20 @@ def supermarkets_from_supplier(supplier: DataFrame, nation: DataFrame) -> DataFr
 
 
 class DriverTables(RetailTables):
-    """The four canonical tables over the driver's files, each built on first use."""
+    """The four canonical tables over the driver's files, each built on first use.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    With ``materialize``, each canonical table is derived once and written as Parquet under the
+    shared checkpoint folder (``partitions`` files), and queries read that: the derivation runs
+    once per session instead of once per query, scans split into parallel tasks, and filters on
+    canonical columns (role, area, customer) are pushed into the Parquet reader.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = False, partitions: int | None = None):
         self._spark = spark
         self._dir = sf_dir
+        self._materialize = materialize
+        self._partitions = partitions
+        self._target = None
         self._built: dict[str, DataFrame] = {}
 
     def _read(self, name: str) -> DataFrame:
@@ -151,28 +161,43 @@ class DriverTables(RetailTables):
             self._built[name] = self._spark.read.parquet(os.path.join(self._dir, f"{name}.parquet"))
         return self._built[name]
 
-    def _once(self, key: str, make) -> DataFrame:
+    def _once(self, key: str, canonical: str, make) -> DataFrame:
         if key not in self._built:
-            self._built[key] = make()
+            df = make()
+            if self._materialize:
+                df = self._write_canonical(canonical, df)
+            self._built[key] = df
         return self._built[key]
 
+    def _write_canonical(self, canonical: str, df: DataFrame) -> DataFrame:
+        from aislewise.session import checkpoint_dir
+
+        if self._target is None:
+            self._target = os.path.join(checkpoint_dir(self._spark), "canonical", uuid.uuid4().hex)
+        path = os.path.join(self._target, canonical)
+        n = self._partitions or self._spark.sparkContext.defaultParallelism
+        df.repartition(n).write.mode("overwrite").parquet(path)
+        return validate(self._spark.read.parquet(path), canonical)
+
     @property
     def geo(self) -> DataFrame:
-        return self._once("geo", lambda: geolocation_from_events(self._read("events")))
+        return self._once("geo", "geolocation", lambda: geolocation_from_events(self._read("events")))
 
     @property
     def sales(self) -> DataFrame:
-        return self._once("sales", lambda: log_sales_from_orders(self._read("orders")))
+        return self._once("sales", "log_sales", lambda: log_sales_from_orders(self._read("orders")))
 
     @property
     def city(self) -> DataFrame:
-        return self._once("city", lambda: city_population_from_nation(self._read("nation")))
+        return self._once("city", "city_population", lambda: city_population_from_nation(self._read("nation")))
 
     @property
     def branches(self) -> DataFrame:
-        return self._once("branches", lambda: supermarkets_from_supplier(self._read("supplier"), self._read("nation")))
+        return self._once(
+            "branches", "supermarkets", lambda: supermarkets_from_supplier(self._read("supplier"), self._read("nation"))
+        )
 
 
-def derive_from_driver_tables(spark: SparkSession, sf_dir: str) -> RetailTables:
-    """Lazy canonical tables over the driver's files (a table's files are read when first used)."""
-    return DriverTables(spark, sf_dir)
+def derive_from_driver_tables(spark: SparkSession, sf_dir: str, materialize: bool = False) -> RetailTables:
+    """Canonical tables over the driver's files, built when first used (see ``DriverTables``)."""
+    return DriverTables(spark, sf_dir, materialize=materialize)
