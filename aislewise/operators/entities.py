@@ -161,9 +161,29 @@ def signal_accuracy(geo: DataFrame, max_m: float = 30) -> DataFrame:
     ).withColumn("outlier_ratio", round_half_up(ratio("outlier_signals", "total_signals"), 2))
 
 
-def signal_accuracy_by_role(geo: DataFrame, max_m: float = 30) -> DataFrame:
+def signal_accuracy_by_role(geo: DataFrame, max_m: float = 30, exact: bool = True) -> DataFrame:
     """Per role: pings, inaccurate pings, their ratio and the most frequent area (NULL counts as an
-    area; ties go to the smaller name). One aggregation by (role, area) feeds everything."""
+    area; ties go to the smaller name). One aggregation by (role, area) feeds everything.
+
+    ``exact=False`` takes the most frequent area from the ``approx_top_k`` sketch instead, in a
+    single aggregation by role (the original used an approximate top-count too)."""
+    if not exact:
+        return (
+            geo.groupBy("role")
+            .agg(
+                F.count(F.lit(1)).alias("total_signals"),
+                F.count_if(F.col("accuracy_m") > max_m).alias("outlier_signals"),
+                F.expr("approx_top_k(area, 1)[0].item").alias("primary_area"),
+            )
+            .select(
+                "role",
+                "total_signals",
+                "outlier_signals",
+                round_half_up(ratio("outlier_signals", "total_signals"), 2).alias("outlier_ratio"),
+                "primary_area",
+            )
+            .orderBy(F.desc("outlier_ratio"))
+        )
     ra = geo.groupBy("role", "area").agg(
         F.count(F.lit(1)).alias("__n"), F.count_if(F.col("accuracy_m") > max_m).alias("__o")
     )
