@@ -21,5 +21,12 @@ def write_kpi_marts(results: Mapping[str, DataFrame], path: str, mode: str = "ov
     return written
 
 
+def build_kpis(tables, names=None) -> dict[str, DataFrame]:
+    """Every registered KPI (or the given ``names``) over ``tables``, as lazy DataFrames."""
+    from aislewise.plans.registry import OPS
+
+    return {name: op(tables) for name, op in OPS.items() if names is None or name in names}
+
+
 def read_kpi_mart(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(path, name))

@@ -6,14 +6,13 @@ import tempfile
 from pyspark.sql import functions as F
 
 from aislewise.operators.sessions import session_summary
-from aislewise.plans.registry import OPS
-from aislewise.sources.marts import read_kpi_mart, write_kpi_marts
+from aislewise.sources.marts import build_kpis, read_kpi_mart, write_kpi_marts
 from aislewise.streaming.live import session_gap_text, stream_hourly_visitors, stream_sessions
 
 
 def test_write_and_read_marts(spark, tables):
     out = tempfile.mkdtemp(prefix="marts-", dir=os.environ.get("TMPDIR", "/tmp"))
-    results = {name: OPS[name](tables) for name in ("traffic_heatmap", "payment_mix", "staffing_gap")}
+    results = build_kpis(tables, names={"traffic_heatmap", "payment_mix", "staffing_gap"})
     written = write_kpi_marts(results, out)
     assert len(written) == 3
     for name, df in results.items():
