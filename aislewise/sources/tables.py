@@ -175,8 +175,12 @@ class DriverTables(RetailTables):
         if self._target is None:
             self._target = os.path.join(checkpoint_dir(self._spark), "canonical", uuid.uuid4().hex)
         path = os.path.join(self._target, canonical)
-        n = self._partitions or self._spark.sparkContext.defaultParallelism
-        df.repartition(n).write.mode("overwrite").parquet(path)
+        # Keep the scan's own splits (about spark.sql.files.maxPartitionBytes each); only an
+        # input that arrives in fewer partitions than there are cores is spread out first.
+        want = self._partitions or self._spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < want:
+            df = df.repartition(want)
+        df.write.mode("overwrite").parquet(path)
         return validate(self._spark.read.parquet(path), canonical)
 
     @property
