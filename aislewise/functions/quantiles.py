@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,10 @@ def _count_below(x: str, cuts: str, lo: int, hi: int) -> str:
     return f"CASE WHEN {cuts}[{mid}] < {x} THEN {_count_below(x, cuts, mid + 1, hi)} ELSE {_count_below(x, cuts, lo, mid)} END"
 
 
+def _dbl(x: float) -> str:
+    return f"{float(x)!r}D"
+
+
 def percentiles(
     df: DataFrame,
     col: str,
@@ -49,33 +53,37 @@ def percentiles(
     """One-row DataFrame with a DOUBLE column per requested percentile (NULLs ignored)."""
     if len(ps) != len(names):
         raise ValueError("one name per percentile")
-    vals = df.select(F.col(col).cast("double").alias("__x")).where(F.col("__x").isNotNull())
+    vals = df.selectExpr(f"CAST(`{col}` AS DOUBLE) AS __x").where("__x IS NOT NULL")
     if not exact:
-        approx = F.percentile_approx("__x", list(ps), accuracy)
-        return vals.agg(approx.alias("__q")).select(*[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
+        wanted = ", ".join(_dbl(p) for p in ps)
+        return vals.selectExpr(f"percentile_approx(__x, array({wanted}), {accuracy}) AS __q").selectExpr(
+            *[f"__q[{i}] AS `{n}`" for i, n in enumerate(names)]
+        )
 
-    cuts = [i / pivots for i in range(1, pivots)]
-    counts = vals.groupBy("__x").agg(F.count(F.lit(1)).alias("__c"))
-    head = counts.agg(F.percentile_approx("__x", cuts, accuracy).alias("__piv"), F.sum("__c").alias("__n"))
+    cuts = ", ".join(_dbl(i / pivots) for i in range(1, pivots))
+    counts = vals.groupBy("__x").agg(F.expr("count(1) AS __c"))
+    head = counts.selectExpr(f"percentile_approx(__x, array({cuts}), {accuracy}) AS __piv", "sum(__c) AS __n")
     # head is a global aggregate: exactly one row, so broadcasting it is bounded.
-    bucketed = counts.crossJoin(F.broadcast(head.select("__piv"))).select(
-        "__x", "__c", F.expr(_count_below("__x", "__piv", 0, pivots - 1)).alias("__bk")
+    bucketed = counts.crossJoin(F.broadcast(head.select("__piv"))).selectExpr(
+        "__x", "__c", f"{_count_below('__x', '__piv', 0, pivots - 1)} AS __bk"
     )
-    totals = bucketed.groupBy("__bk").agg(F.sum("__c").alias("__bc"))  # at most `pivots` rows
-    w_all = Window.orderBy("__bk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranges = totals.select("__bk", (F.sum("__bc").over(w_all) - F.col("__bc")).alias("__start"), F.sum("__bc").over(w_all).alias("__end"))
-
-    wanted = head.select(
-        F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(float(p)).alias("p")) for j, p in enumerate(ps)])).alias("__t"),
-        "__n",
-    ).select(
-        F.col("__t.j").alias("__j"),
-        F.greatest(F.lit(1).cast("long"), F.ceil(F.col("__n") * F.col("__t.p")).cast("long")).alias("__r"),
+    running = "sum(__bc) OVER (ORDER BY __bk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    # At most `pivots` rows, so the unpartitioned window is bounded.
+    ranges = bucketed.groupBy("__bk").agg(F.expr("sum(__c) AS __bc")).selectExpr(
+        "__bk", f"{running} - __bc AS __start", f"{running} AS __end"
+    )
+    targets = ", ".join(f"named_struct('j', {j}, 'p', {_dbl(p)})" for j, p in enumerate(ps))
+    wanted = head.selectExpr("__n", f"explode(array({targets})) AS __t").selectExpr(
+        "__t.j AS __j", "greatest(1L, CAST(ceil(__n * __t.p) AS BIGINT)) AS __r"
     )
     # len(ps) x pivots rows at most.
-    target = wanted.join(ranges, (F.col("__r") > F.col("__start")) & (F.col("__r") <= F.col("__end")))
-    cand = bucketed.join(F.broadcast(target.select("__bk", "__j", "__r", "__start")), on="__bk")
-    w_b = Window.partitionBy("__j").orderBy("__x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cand = cand.withColumn("__cum", F.col("__start") + F.sum("__c").over(w_b))
-    hit = cand.where((F.col("__cum") >= F.col("__r")) & (F.col("__cum") - F.col("__c") < F.col("__r")))
-    return hit.agg(*[F.max(F.when(F.col("__j") == j, F.col("__x"))).alias(n) for j, n in enumerate(names)])
+    target = wanted.join(ranges, F.expr("__r > __start AND __r <= __end")).select("__bk", "__j", "__r", "__start")
+    cand = bucketed.join(F.broadcast(target), on="__bk").selectExpr(
+        "__j",
+        "__x",
+        "__c",
+        "__r",
+        "__start + sum(__c) OVER (PARTITION BY __j ORDER BY __x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS __cum",
+    )
+    hit = cand.where("__cum >= __r AND __cum - __c < __r")
+    return hit.selectExpr(*[f"max(CASE WHEN __j = {j} THEN __x END) AS `{n}`" for j, n in enumerate(names)])
