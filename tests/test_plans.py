@@ -15,13 +15,14 @@ def executed_plan(spark, name):
 
 def test_filters_reach_the_scan(spark):
     plan = executed_plan(spark, "impute_area")
-    assert re.search(r"PushedFilters: \[[^\]]*GreaterThan\(value,30\.0\)", plan), plan
+    pushed = plan.split("PushedFilters:")[1].split("ReadSchema")[0]  # the list may be abbreviated
+    assert "GreaterThan(accuracy_m,30.0)" in pushed and "In(r" in pushed, pushed
 
 
 def test_column_pruning(spark):
     plan = executed_plan(spark, "signal_accuracy")
     scans = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
-    assert scans and all(s == "value:double" for s in scans), scans
+    assert scans and all(s == "accuracy_m:double" for s in scans), scans
 
 
 def test_sessions_shuffle_rows_once(spark):
