@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,21 +29,31 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "ais
     )
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None on a Spark Connect session (which has none)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # Spark Connect raises: no JVM context on the client
+        return None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must already be set to shared storage. Only when it is
-    unset (local tests) do we create a scratch folder and register it.
+    unset and the master is local (tests) do we create a scratch folder.
     """
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = sc.getCheckpointDir()
+    sc = _context(spark)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and sc is not None:
+        configured = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
-        if not sc.master.startswith("local"):
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (executors write checkpoints there)")
         configured = tempfile.mkdtemp(prefix="aislewise-ckpt-")
-    if not sc.getCheckpointDir():
+        spark.conf.set("spark.checkpoint.dir", configured)
+    if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(configured)
     return configured
 
@@ -53,8 +64,10 @@ def materialize(df: DataFrame) -> DataFrame:
     Used for small derived tables (one row per device, say) that a plan reads more than once;
     Spark would otherwise recompute them from the raw rows for every reference.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "materialized", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -37,7 +37,7 @@ def test_classification_reads_pings_once(spark):
     """The device profile is materialized, so the final plan does not scan the pings again."""
     plan = executed_plan(spark, "classify_entities")
     assert "events.parquet" not in plan, plan
-    assert "Scan ExistingRDD" in plan
+    assert "/materialized/" in plan
 
 
 def test_only_one_row_sides_are_nested_loop_joined(spark):
