@@ -181,7 +181,7 @@ class DriverTables(RetailTables):
         if df.rdd.getNumPartitions() < want:
             df = df.repartition(want)
         df.write.mode("overwrite").parquet(path)
-        return validate(self._spark.read.parquet(path), canonical)
+        return validate(self._spark.read.schema(df.schema).parquet(path), canonical)
 
     @property
     def geo(self) -> DataFrame:
