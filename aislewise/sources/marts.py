@@ -30,3 +30,17 @@ def build_kpis(tables, names=None) -> dict[str, DataFrame]:
 
 def read_kpi_mart(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(path, name))
+
+
+def register_views(spark: SparkSession, tables, prefix: str = "kpi_") -> list[str]:
+    """Register the canonical tables (geolocation, log_sales, city_population, supermarkets) and
+    every KPI (``<prefix><name>``) as temporary views, for ``spark.sql`` users. Views are lazy."""
+    tables.geo.createOrReplaceTempView("geolocation")
+    tables.sales.createOrReplaceTempView("log_sales")
+    tables.city.createOrReplaceTempView("city_population")
+    tables.branches.createOrReplaceTempView("supermarkets")
+    names = []
+    for name, df in build_kpis(tables).items():
+        df.createOrReplaceTempView(prefix + name)
+        names.append(prefix + name)
+    return names

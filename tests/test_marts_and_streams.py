@@ -44,3 +44,24 @@ def test_static_hourly_visitors(spark, tables):
         F.countDistinct("device_id").alias("unique_visitors")
     )
     assert got.exceptAll(expected).count() == 0 and expected.exceptAll(got).count() == 0
+
+
+def test_sql_views(spark, tables):
+    from aislewise.sources.marts import register_views
+
+    names = register_views(spark, tables)
+    assert "kpi_staffing_gap" in names and len(names) == 31
+    n = spark.sql("SELECT count(*) FROM kpi_traffic_heatmap").first()[0]
+    assert n == spark.sql("SELECT count(DISTINCT dayofweek(timestamp), hour(timestamp)) FROM geolocation").first()[0]
+
+
+def test_command_line(spark):
+    import os
+    import tempfile
+
+    from aislewise.__main__ import main
+
+    out = tempfile.mkdtemp(prefix="cli-")
+    main(["--driver-tables", "/root/testdata/sf0.001", "--out", out, "--only", "payment_mix,capture_rate"])
+    assert sorted(os.listdir(out)) == ["capture_rate", "payment_mix"]
+    assert spark.read.parquet(os.path.join(out, "payment_mix")).count() > 0
