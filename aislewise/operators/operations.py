@@ -11,10 +11,10 @@ from aislewise.operators.sessions import session_summary
 from aislewise.sources.schemas import CHECKOUT_ROLES
 
 
-def capture_rate(geo: DataFrame, gap_minutes: int = 60, min_minutes: int = 1) -> DataFrame:
+def capture_rate(geo: DataFrame, gap_minutes: int = 60, min_minutes: int = 1, bucket_minutes: int = 60) -> DataFrame:
     """Pings received versus one expected per minute, over device sessions (new session after a
     gap of more than ``gap_minutes`` whole minutes) lasting more than ``min_minutes``."""
-    s = session_summary(geo, ["device_id"], "timestamp", gap_minutes)
+    s = session_summary(geo, ["device_id"], "timestamp", gap_minutes, bucket_minutes)
     s = s.withColumn("__dur", whole_minutes("session_begin", "session_end")).where(F.col("__dur") > min_minutes)
     return s.agg(
         F.sum("n_rows").alias("total_pings_received"),
@@ -66,7 +66,11 @@ def missed_deliveries(
 
 
 def staffing_gap(
-    geo: DataFrame, sales: DataFrame, gap_minutes: int = 20, cashiers_at_registers_only: bool = False
+    geo: DataFrame,
+    sales: DataFrame,
+    gap_minutes: int = 20,
+    cashiers_at_registers_only: bool = False,
+    bucket_minutes: int = 60,
 ) -> DataFrame:
     """Registers needed versus cashiers present per weekday and hour.
 
@@ -79,7 +83,7 @@ def staffing_gap(
     checkout = geo.where((F.col("area") == "CASH_REGISTERS") & F.col("role").isin(*CHECKOUT_ROLES)).select(
         "device_id", "timestamp"
     )
-    sessions = session_summary(checkout, ["device_id"], "timestamp", gap_minutes)
+    sessions = session_summary(checkout, ["device_id"], "timestamp", gap_minutes, bucket_minutes)
     durations = sessions.select(
         weekday_index("session_begin").alias("num_day"),
         hour_of_day("session_begin").alias("hour"),

@@ -43,12 +43,14 @@ def basket_by_dwell_bucket(sales: DataFrame, width: int = 5, max_minutes: int =
     )
 
 
-def daily_visit_distribution(sales: DataFrame, gap_minutes: int = 60, id_col: str = "customer_id") -> DataFrame:
+def daily_visit_distribution(
+    sales: DataFrame, gap_minutes: int = 60, id_col: str = "customer_id", bucket_minutes: int = 60
+) -> DataFrame:
     """How many separate visits (gap > ``gap_minutes``) a customer makes on one day, as a
     distribution. Tickets without a customer form one group per day, as in the original."""
     rows = sales.select(F.col(id_col).alias("__id"), "timestamp", F.to_date("timestamp").alias("visit_date"))
     visits = (
-        session_summary(rows, ["__id", "visit_date"], "timestamp", gap_minutes)
+        session_summary(rows, ["__id", "visit_date"], "timestamp", gap_minutes, bucket_minutes)
         .groupBy("__id", "visit_date")
         .agg(F.count(F.lit(1)).alias("visits_in_one_day"))
     )

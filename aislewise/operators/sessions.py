@@ -9,12 +9,14 @@ ORDER BY ts``. That puts every row of a key into one task: a device that sends
 a third of all pings would be sorted by a single task. Here it is done in two
 levels, with no join back to the rows:
 
-1. rows are windowed per (key, time bucket) and reduced to *local* sessions
-   (begin, end, row count) inside each bucket;
+1. rows are windowed per (key, time bucket of ``bucket_minutes``, an hour by
+   default) and reduced to *local* sessions (begin, end, row count) in each bucket;
 2. local sessions of a key are sessionized again by the same rule, using
    ``end`` of the previous local session and ``begin`` of the next. Local
    sessions of one key number at most about (time span / bucket) x
    (bucket / gap + 1), so this window is bounded by time, not by row count.
+   A key so hot that one bucket of it is too much for a task takes a smaller
+   ``bucket_minutes``; the answer does not depend on it.
 
 Two local sessions in one bucket are always more than the gap apart, so step 2
 only merges sessions across a bucket edge, and the result equals the textbook one.
@@ -30,10 +32,10 @@ from pyspark.sql import functions as F
 from aislewise.functions.timeparts import whole_minutes
 
 
-def _hour_bucket(ts: Column, bucket_hours: int) -> Column:
+def _time_bucket(ts: Column, bucket_minutes: int) -> Column:
     """Monotone integer bucket of a timestamp_ntz; no time-zone arithmetic involved."""
-    hours = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long") * 24 + F.hour(ts)
-    return F.floor(hours / F.lit(bucket_hours)).cast("long")
+    minutes = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long") * 1440 + F.hour(ts) * 60 + F.minute(ts)
+    return F.floor(minutes / F.lit(bucket_minutes)).cast("long")
 
 
 def _number_sessions(df: DataFrame, part: list[str], begin: str, end: str, gap_minutes: int, out: str) -> DataFrame:
@@ -51,14 +53,14 @@ def session_summary(
     keys: Sequence[str],
     ts: str = "timestamp",
     gap_minutes: int = 60,
-    bucket_hours: int = 1,
+    bucket_minutes: int = 60,
 ) -> DataFrame:
     """One row per session: ``keys``, session_begin, session_end, n_rows.
 
     Rows whose key columns are NULL form one key, as in ``PARTITION BY``.
     """
     rows = df.select(F.struct(*[F.col(k) for k in keys]).alias("__key"), F.col(ts).alias("__t"))
-    rows = rows.withColumn("__b", _hour_bucket(F.col("__t"), bucket_hours))
+    rows = rows.withColumn("__b", _time_bucket(F.col("__t"), bucket_minutes))
     rows = _number_sessions(rows, ["__key", "__b"], "__t", "__t", gap_minutes, "__seq")
     # Grouping by (key, bucket, seq) reuses the (key, bucket) partitioning of the window: no shuffle.
     local = rows.groupBy("__key", "__b", "__seq").agg(
@@ -76,25 +78,25 @@ def sessionize(
     keys: Sequence[str],
     ts: str = "timestamp",
     gap_minutes: int = 60,
-    bucket_hours: int = 1,
+    bucket_minutes: int = 60,
 ) -> DataFrame:
     """Row-level labels: ``df`` plus ``session_begin``, the first timestamp of the row's session
     (unique within ``keys``; the rows with ``ts == session_begin`` open the session).
 
     Sessions come from :func:`session_summary`; each row is attached to the session of its key
-    that covers it, with an equi-join on (key, hour bucket) against every bucket a session spans.
+    that covers it, with an equi-join on (key, time bucket) against every bucket a session spans.
     Prefer ``session_summary`` when only per-session figures are needed: it reads the rows once.
     """
-    sessions = session_summary(df, keys, ts, gap_minutes, bucket_hours)
+    sessions = session_summary(df, keys, ts, gap_minutes, bucket_minutes)
     spans = sessions.select(
         F.struct(*[F.col(k) for k in keys]).alias("__skey"),
         "session_begin",
         "session_end",
         F.explode(
-            F.sequence(_hour_bucket(F.col("session_begin"), bucket_hours), _hour_bucket(F.col("session_end"), bucket_hours))
+            F.sequence(_time_bucket(F.col("session_begin"), bucket_minutes), _time_bucket(F.col("session_end"), bucket_minutes))
         ).alias("__sb"),
     )
-    rows = df.withColumn("__key", F.struct(*[F.col(k) for k in keys])).withColumn("__b", _hour_bucket(F.col(ts), bucket_hours))
+    rows = df.withColumn("__key", F.struct(*[F.col(k) for k in keys])).withColumn("__b", _time_bucket(F.col(ts), bucket_minutes))
     cond = (
         (F.col("__key") == F.col("__skey"))
         & (F.col("__b") == F.col("__sb"))

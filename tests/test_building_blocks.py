@@ -33,8 +33,8 @@ def brute_sessions(rows, gap):
     return out
 
 
-@pytest.mark.parametrize("seed,gap,bucket_hours", [(1, 60, 1), (2, 20, 1), (3, 60, 24), (4, 5, 2)])
-def test_sessionize_matches_brute_force(spark, seed, gap, bucket_hours):
+@pytest.mark.parametrize("seed,gap,bucket_minutes", [(1, 60, 60), (2, 20, 60), (3, 60, 1440), (4, 5, 120), (5, 60, 7), (6, 20, 1)])
+def test_sessionize_matches_brute_force(spark, seed, gap, bucket_minutes):
     rnd = random.Random(seed)
     base = dt.datetime(2024, 1, 1)
     rows = []
@@ -46,9 +46,9 @@ def test_sessionize_matches_brute_force(spark, seed, gap, bucket_hours):
             rows.append((k, t))
     df = spark.createDataFrame(rows, "k string, ts timestamp_ntz")
     expected = brute_sessions(rows, gap)
-    summary = session_summary(df, ["k"], "ts", gap, bucket_hours).collect()
+    summary = session_summary(df, ["k"], "ts", gap, bucket_minutes).collect()
     assert {(r["k"], r["session_begin"]): r["n_rows"] for r in summary} == expected
-    labelled = sessionize(df, ["k"], "ts", gap, bucket_hours)
+    labelled = sessionize(df, ["k"], "ts", gap, bucket_minutes)
     assert labelled.count() == len(rows)
     got = {(r["k"], r["session_begin"]): r["n"] for r in labelled.groupBy("k", "session_begin").agg(F.count("*").alias("n")).collect()}
     assert got == expected
