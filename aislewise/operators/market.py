@@ -15,10 +15,24 @@ from aislewise.functions.numeric import ratio, round_half_up, share_pct
 HOUSEHOLD_SIZE = 3.3  # persons per household, fixed value of the original analysis
 
 
-def market_saturation(city: DataFrame, branches: DataFrame, min_population: int = 10000) -> DataFrame:
+def trim_name(col: str, all_whitespace: bool = False):
+    """TRIM of a city name. Spark's ``trim`` strips blanks only; ``all_whitespace`` strips any
+    Unicode whitespace (tabs, no-break spaces, ...), as the original warehouse's TRIM does."""
+    if all_whitespace:
+        return F.regexp_replace(F.col(col), r"(?U)^\s+|\s+$", "")
+    return F.trim(F.col(col))
+
+
+def market_saturation(
+    city: DataFrame, branches: DataFrame, min_population: int = 10000, all_whitespace: bool = False
+) -> DataFrame:
     """Residents per supermarket for cities above ``min_population`` that have a branch."""
-    pop = city.select(F.trim("city_name").alias("city_name"), "total_population").where(F.col("total_population") > 0)
-    supply = branches.groupBy(F.trim("city").alias("city_name")).agg(F.count(F.lit(1)).alias("supermarket_count"))
+    pop = city.select(trim_name("city_name", all_whitespace).alias("city_name"), "total_population").where(
+        F.col("total_population") > 0
+    )
+    supply = branches.groupBy(trim_name("city", all_whitespace).alias("city_name")).agg(
+        F.count(F.lit(1)).alias("supermarket_count")
+    )
     return (
         pop.join(supply, "city_name")
         .where(F.col("total_population") > min_population)
@@ -32,9 +46,11 @@ def market_saturation(city: DataFrame, branches: DataFrame, min_population: int
     )
 
 
-def estimated_households(city: DataFrame, name: str, household_size: float = HOUSEHOLD_SIZE) -> DataFrame:
+def estimated_households(
+    city: DataFrame, name: str, household_size: float = HOUSEHOLD_SIZE, all_whitespace: bool = False
+) -> DataFrame:
     """Population rows of the city (matched after trimming, returned untrimmed) and households."""
-    return city.where(F.trim("city_name") == name).select(
+    return city.where(trim_name("city_name", all_whitespace) == name).select(
         "city_name",
         "total_population",
         round_half_up(F.col("total_population") / F.lit(float(household_size)), 0).alias("estimated_households"),

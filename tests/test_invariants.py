@@ -48,3 +48,14 @@ def test_approximate_options_close_to_exact(tables):
     f_exact = sales.iqr_fence(tables.sales).first()
     f_approx = sales.iqr_fence(tables.sales, exact=False).first()
     assert f_approx["upper_fence"] == pytest.approx(f_exact["upper_fence"], rel=0.01)
+
+
+def test_trim_all_whitespace(spark):
+    from aislewise.operators.market import estimated_households, market_saturation
+
+    city = spark.createDataFrame([("\tX ", 50000), (" Y ", 40000)], "city_name string, total_population bigint")
+    branches = spark.createDataFrame([("1", "X"), ("2", "Y\t")], "branch_id string, city string")
+    assert estimated_households(city, "X").count() == 0  # blanks only: the tab stays
+    assert estimated_households(city, "X", all_whitespace=True).count() == 1
+    got = {r["city_name"] for r in market_saturation(city, branches, all_whitespace=True).collect()}
+    assert got == {"X", "Y"}
