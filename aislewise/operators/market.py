@@ -57,21 +57,27 @@ def estimated_households(
     )
 
 
-def city_population_of(city: DataFrame, name: str) -> DataFrame:
+def city_population_of(city: DataFrame, name: str, all_whitespace: bool = False) -> DataFrame:
     """One row: the population recorded for the city (largest if listed twice)."""
-    return city.where(F.trim("city_name") == name).agg(F.max("total_population").alias("__population"))
+    return city.where(trim_name("city_name", all_whitespace) == name).agg(F.max("total_population").alias("__population"))
 
 
-def residents_per_branch(branches: DataFrame, name: str, population: int | DataFrame | None = None, city: DataFrame | None = None) -> DataFrame:
+def residents_per_branch(
+    branches: DataFrame,
+    name: str,
+    population: int | DataFrame | None = None,
+    city: DataFrame | None = None,
+    all_whitespace: bool = False,
+) -> DataFrame:
     """Branches in the city grouped by the raw city spelling, and residents per branch.
 
     ``population`` is a number, or taken from ``city`` (the population table) when omitted.
     """
-    counted = branches.where(F.trim("city") == name).groupBy("city").agg(F.count(F.lit(1)).alias("number_of_competitors"))
+    counted = branches.where(trim_name("city", all_whitespace) == name).groupBy("city").agg(F.count(F.lit(1)).alias("number_of_competitors"))
     if population is None:
         if city is None:
             raise ValueError("give population or the city table")
-        population = city_population_of(city, name)
+        population = city_population_of(city, name, all_whitespace)
     if isinstance(population, DataFrame):
         counted = counted.crossJoin(F.broadcast(population))  # one row
         pop = F.col("__population")
@@ -82,7 +88,9 @@ def residents_per_branch(branches: DataFrame, name: str, population: int | DataF
     )
 
 
-def market_share(sales: DataFrame, city: DataFrame, name: str, household_size: float = HOUSEHOLD_SIZE) -> DataFrame:
+def market_share(
+    sales: DataFrame, city: DataFrame, name: str, household_size: float = HOUSEHOLD_SIZE, all_whitespace: bool = False
+) -> DataFrame:
     """Identified customers as a percentage of the city's estimated households.
 
     The original states a 2.7% share of local households without giving the formula; this
@@ -91,7 +99,7 @@ def market_share(sales: DataFrame, city: DataFrame, name: str, household_size: f
     customers = sales.where(F.col("customer_id").isNotNull()).agg(
         F.countDistinct("customer_id").alias("identified_customers")
     )
-    households = estimated_households(city, name, household_size)
+    households = estimated_households(city, name, household_size, all_whitespace)
     return households.crossJoin(F.broadcast(customers)).select(  # one-row broadcast
         "city_name",
         "identified_customers",
