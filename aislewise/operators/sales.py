@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from aislewise.functions.numeric import MONEY, money_avg, money_sum, ratio, round_half_up, share_pct
 from aislewise.functions.quantiles import percentiles
 from aislewise.functions.timeparts import hour_of_day, weekday_index
-from aislewise.operators.sessions import session_summary
+from aislewise.operators.sessions import session_counts
 from aislewise.sources.schemas import SEGMENTS, TIME_CATEGORIES, WALK_IN
 
 
@@ -49,10 +49,8 @@ def daily_visit_distribution(
     """How many separate visits (gap > ``gap_minutes``) a customer makes on one day, as a
     distribution. Tickets without a customer form one group per day, as in the original."""
     rows = sales.select(F.col(id_col).alias("__id"), "timestamp", F.to_date("timestamp").alias("visit_date"))
-    visits = (
-        session_summary(rows, ["__id", "visit_date"], "timestamp", gap_minutes, bucket_minutes)
-        .groupBy("__id", "visit_date")
-        .agg(F.count(F.lit(1)).alias("visits_in_one_day"))
+    visits = session_counts(rows, ["__id", "visit_date"], "timestamp", gap_minutes, bucket_minutes).withColumnRenamed(
+        "n_sessions", "visits_in_one_day"
     )
     cases = visits.groupBy("visits_in_one_day").agg(F.count(F.lit(1)).alias("number_of_cases"))
     everything = Window.partitionBy()  # over the distribution rows only

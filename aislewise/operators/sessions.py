@@ -48,6 +48,32 @@ def _number_sessions(df: DataFrame, part: list[str], begin: str, end: str, gap_m
     return df.withColumn("__start", starts).withColumn(out, F.sum("__start").over(w).cast("long"))
 
 
+def _local_sessions(df: DataFrame, keys: Sequence[str], ts: str, gap_minutes: int, bucket_minutes: int) -> DataFrame:
+    """Local sessions per (key, bucket), numbered per key by the gap rule (``__sid``, ``__start``)."""
+    rows = df.select(F.struct(*[F.col(k) for k in keys]).alias("__key"), F.col(ts).alias("__t"))
+    rows = rows.withColumn("__b", _time_bucket(F.col("__t"), bucket_minutes))
+    rows = _number_sessions(rows, ["__key", "__b"], "__t", "__t", gap_minutes, "__seq")
+    # Grouping by (key, bucket, seq) reuses the (key, bucket) partitioning of the window: no shuffle.
+    local = rows.groupBy("__key", "__b", "__seq").agg(
+        F.min("__t").alias("__begin"), F.max("__t").alias("__end"), F.count(F.lit(1)).alias("__n")
+    )
+    return _number_sessions(local, ["__key"], "__begin", "__end", gap_minutes, "__sid")
+
+
+def session_counts(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str = "timestamp",
+    gap_minutes: int = 60,
+    bucket_minutes: int = 60,
+) -> DataFrame:
+    """One row per key: ``keys`` and ``n_sessions``. Counted where the local sessions already sit
+    partitioned by key, so no further shuffle is needed."""
+    local = _local_sessions(df, keys, ts, gap_minutes, bucket_minutes)
+    counts = local.groupBy("__key").agg(F.sum("__start").alias("n_sessions"))
+    return counts.select(*[F.col("__key")[k].alias(k) for k in keys], "n_sessions")
+
+
 def session_summary(
     df: DataFrame,
     keys: Sequence[str],
@@ -59,14 +85,7 @@ def session_summary(
 
     Rows whose key columns are NULL form one key, as in ``PARTITION BY``.
     """
-    rows = df.select(F.struct(*[F.col(k) for k in keys]).alias("__key"), F.col(ts).alias("__t"))
-    rows = rows.withColumn("__b", _time_bucket(F.col("__t"), bucket_minutes))
-    rows = _number_sessions(rows, ["__key", "__b"], "__t", "__t", gap_minutes, "__seq")
-    # Grouping by (key, bucket, seq) reuses the (key, bucket) partitioning of the window: no shuffle.
-    local = rows.groupBy("__key", "__b", "__seq").agg(
-        F.min("__t").alias("__begin"), F.max("__t").alias("__end"), F.count(F.lit(1)).alias("__n")
-    )
-    local = _number_sessions(local, ["__key"], "__begin", "__end", gap_minutes, "__sid")
+    local = _local_sessions(df, keys, ts, gap_minutes, bucket_minutes)
     sessions = local.groupBy("__key", "__sid").agg(
         F.min("__begin").alias("session_begin"), F.max("__end").alias("session_end"), F.sum("__n").alias("n_rows")
     )

@@ -81,3 +81,13 @@ def test_sunday_week_against_strftime(spark):
     for r in got:
         assert r["w"] == int(r["d"].strftime("%U"))
         assert r["s"] == r["d"] - dt.timedelta(days=(r["d"].weekday() + 1) % 7)
+
+
+def test_session_counts_match_summary(spark, tables):
+    from aislewise.operators.sessions import session_counts
+
+    keys = ["customer_id", "d"]
+    rows = tables.sales.withColumn("d", F.to_date("timestamp"))
+    a = session_counts(rows, keys, "timestamp", 60)
+    b = session_summary(rows, keys, "timestamp", 60).groupBy(*keys).agg(F.count("*").alias("n_sessions"))
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
