@@ -68,7 +68,3 @@ def materialize(df: DataFrame) -> DataFrame:
     path = os.path.join(checkpoint_dir(spark), "materialized", uuid.uuid4().hex)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)  # known schema: no footer read
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(checkpoint_dir(spark), name)

@@ -91,3 +91,20 @@ def test_session_counts_match_summary(spark, tables):
     a = session_counts(rows, keys, "timestamp", 60)
     b = session_summary(rows, keys, "timestamp", 60).groupBy(*keys).agg(F.count("*").alias("n_sessions"))
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
+
+
+@pytest.mark.parametrize("gap,area", [(60, None), (20, "CASH_REGISTERS")])
+def test_session_summary_equals_textbook_lag_form(spark, tables, gap, area):
+    """Rewrite equivalence on the fixture: two-level sessions == one window per device."""
+    from aislewise.operators.sessions import sessionize_naive
+
+    geo = tables.geo if area is None else tables.geo.where(F.col("area") == area)
+    naive = (
+        sessionize_naive(geo, ["device_id"], "timestamp", gap)
+        .groupBy("device_id", "session_id")
+        .agg(F.min("timestamp").alias("session_begin"), F.max("timestamp").alias("session_end"), F.count("*").alias("n_rows"))
+        .drop("session_id")
+    )
+    ours = session_summary(geo, ["device_id"], "timestamp", gap)
+    assert ours.count() == naive.count()
+    assert ours.exceptAll(naive).count() == 0 and naive.exceptAll(ours).count() == 0
