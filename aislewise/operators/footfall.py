@@ -68,11 +68,11 @@ def foot_traffic(geo: DataFrame, sales: DataFrame) -> DataFrame:
     )
 
 
-def weekly_visitors(geo: DataFrame) -> DataFrame:
+def weekly_visitors(geo: DataFrame, ordered: bool = True) -> DataFrame:
     """Distinct visitor devices per Sunday-based week (week 0..53 and its Sunday)."""
-    return (
+    weeks = (
         geo.where(F.col("role").isin(*VISITOR_ROLES))
         .groupBy(sunday_week("timestamp").alias("week_number"), sunday_week_start("timestamp").alias("week_start_date"))
         .agg(F.countDistinct("device_id").alias("unique_visitors_count"))
-        .orderBy("week_number")
     )
+    return weeks.orderBy("week_number") if ordered else weeks

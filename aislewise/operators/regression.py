@@ -27,8 +27,8 @@ def linear_fit(df: DataFrame, y: str, x: str, digits: int = 6) -> DataFrame:
 
 
 def dwell_spend_regression(sales: DataFrame) -> DataFrame:
-    return linear_fit(dwell_vs_spend(sales), "purchase_amount", "dwell_minutes")
+    return linear_fit(dwell_vs_spend(sales, ordered=False), "purchase_amount", "dwell_minutes")
 
 
 def weekly_trend_regression(geo: DataFrame) -> DataFrame:
-    return linear_fit(weekly_visitors(geo), "unique_visitors_count", "week_number")
+    return linear_fit(weekly_visitors(geo, ordered=False), "unique_visitors_count", "week_number")

@@ -192,15 +192,15 @@ def basket_mix_peak_offpeak(sales: DataFrame) -> DataFrame:
     ).orderBy("time_category", "customer_segment")
 
 
-def dwell_vs_spend(sales: DataFrame, min_dwell: int = 1, max_dwell: int = 180) -> DataFrame:
-    """Regression input rows: identified customers, ``min_dwell < dwell < max_dwell``, positive ticket."""
+def dwell_vs_spend(sales: DataFrame, min_dwell: int = 1, max_dwell: int = 180, ordered: bool = True) -> DataFrame:
+    """Regression input rows: identified customers, ``min_dwell < dwell < max_dwell``, positive ticket.
+
+    ``ordered`` adds the original's presentation sort; consumers that aggregate pass False,
+    since Catalyst keeps a sort below an aggregate."""
     d = F.col("dwell_minutes")
-    return (
-        sales.where(
-            F.col("customer_id").isNotNull() & d.isNotNull() & (d > min_dwell) & (d < max_dwell) & (F.col("total") > 0)
-        )
-        .select("dwell_minutes", F.col("total").alias("purchase_amount"), round_half_up(F.col("total") / d, 2).alias("dollars_per_minute"))
-        # Ordered by dwell as in the original; the amount as second key keeps the range sort
-        # splittable when a few dwell values hold most rows.
-        .orderBy("dwell_minutes", "purchase_amount")
-    )
+    rows = sales.where(
+        F.col("customer_id").isNotNull() & d.isNotNull() & (d > min_dwell) & (d < max_dwell) & (F.col("total") > 0)
+    ).select("dwell_minutes", F.col("total").alias("purchase_amount"), round_half_up(F.col("total") / d, 2).alias("dollars_per_minute"))
+    # Ordered by dwell as in the original; the amount as second key keeps the range sort
+    # splittable when a few dwell values hold most rows.
+    return rows.orderBy("dwell_minutes", "purchase_amount") if ordered else rows

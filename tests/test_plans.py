@@ -46,3 +46,9 @@ def test_only_one_row_sides_are_nested_loop_joined(spark):
         plan = executed_plan(spark, name)
         assert "CartesianProduct" not in plan
         assert "BroadcastNestedLoopJoin" in plan
+
+
+def test_regressions_do_not_sort(spark):
+    """The presentation ORDER BY of the input rows must not survive under the fit's aggregate."""
+    for name in ("dwell_spend_regression", "weekly_trend_regression"):
+        assert "rangepartitioning" not in executed_plan(spark, name), name
