@@ -22,10 +22,12 @@ def visitor_roster(sales: DataFrame, geo: DataFrame) -> DataFrame:
       found with an anti join of distinct customers against distinct devices;
     * a ping without a device id would contribute (NULL, no_phone).
     """
-    visitors = geo.where(F.col("role").isin(*VISITOR_ROLES) & F.col("device_id").isNotNull()).select(
+    # One pass over the pings: distinct (device, role) feeds all three device-side parts.
+    device_roles = geo.select("device_id", "role").distinct()
+    visitors = device_roles.where(F.col("role").isin(*VISITOR_ROLES) & F.col("device_id").isNotNull()).select(
         F.col("device_id").alias("final_user_id"), F.col("role").alias("customer_type")
     )
-    devices = geo.where(F.col("device_id").isNotNull()).select(F.col("device_id").alias("customer_id")).distinct()
+    devices = device_roles.where(F.col("device_id").isNotNull()).select(F.col("device_id").alias("customer_id")).distinct()
     customers = sales.where(F.col("customer_id").isNotNull()).select("customer_id").distinct()
     unseen = customers.join(devices, "customer_id", "left_anti").select(
         F.col("customer_id").alias("final_user_id"), F.lit(NO_PHONE).alias("customer_type")
@@ -33,7 +35,7 @@ def visitor_roster(sales: DataFrame, geo: DataFrame) -> DataFrame:
     anonymous = sales.where(F.col("customer_id").isNull()).select(
         F.col("sale_id").alias("final_user_id"), F.lit(NO_PHONE).alias("customer_type")
     )
-    no_device = geo.where(F.col("device_id").isNull()).select(
+    no_device = device_roles.where(F.col("device_id").isNull()).select(
         F.lit(None).cast("string").alias("final_user_id"), F.lit(NO_PHONE).alias("customer_type")
     )
     return (

@@ -51,18 +51,21 @@ def missed_deliveries(
     ignore_role: str = "security_guy",
 ) -> DataFrame:
     """Open delivery days (a ping from someone other than security) with no ping in ``area``
-    during the delivery window on that date."""
-    open_days = (
-        geo.where(weekday_index("timestamp").isin(*weekdays) & (F.col("role") != ignore_role))
-        .select(F.to_date("timestamp").alias("missed_date"), weekday_name("timestamp").alias("day_name"))
-        .distinct()
+    during the delivery window on that date.
+
+    One aggregation per date decides both conditions, so the pings are read and shuffled once
+    (the original reads them twice and anti-joins the dates)."""
+    is_open = weekday_index("timestamp").isin(*weekdays) & (F.col("role") != ignore_role)
+    delivered = (F.col("area") == area) & hour_of_day("timestamp").between(first_hour, last_hour)
+    flag = lambda cond: F.max(F.when(cond, F.lit(1)).otherwise(F.lit(0)))  # noqa: E731  NULL counts as false
+    per_day = geo.groupBy(F.to_date("timestamp").alias("missed_date")).agg(
+        flag(is_open).alias("__open"), flag(delivered).alias("__delivered")
     )
-    delivered = (
-        geo.where((F.col("area") == area) & hour_of_day("timestamp").between(first_hour, last_hour))
-        .select(F.to_date("timestamp").alias("missed_date"))
-        .distinct()
+    return (
+        per_day.where((F.col("__open") == 1) & (F.col("__delivered") == 0))
+        .select("missed_date", weekday_name("missed_date").alias("day_name"))
+        .orderBy("missed_date")
     )
-    return open_days.join(delivered, "missed_date", "left_anti").orderBy("missed_date")
 
 
 def staffing_gap(
