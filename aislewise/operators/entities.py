@@ -11,7 +11,7 @@ from aislewise.session import materialize
 from aislewise.sources.schemas import NO_PHONE, STAFF_AREA_ROLE, STAFF_ROLES, STATIC_ROLE_AREA, VISITOR_ROLES
 
 
-def visitor_roster(sales: DataFrame, geo: DataFrame) -> DataFrame:
+def visitor_roster(sales: DataFrame, geo: DataFrame, materialize_devices: bool = True) -> DataFrame:
     """Distinct (final_user_id, customer_type) for visitors and app-less buyers.
 
     Same rows as ``sales FULL JOIN geo ON customer_id = device_id`` filtered to visitor roles or
@@ -22,8 +22,12 @@ def visitor_roster(sales: DataFrame, geo: DataFrame) -> DataFrame:
       found with an anti join of distinct customers against distinct devices;
     * a ping without a device id would contribute (NULL, no_phone).
     """
-    # One pass over the pings: distinct (device, role) feeds all three device-side parts.
+    # One pass over the pings: distinct (device, role), device-sized, is written once and feeds
+    # all three device-side parts (otherwise each part's filter, pushed below the distinct,
+    # would make Spark scan the pings again).
     device_roles = geo.select("device_id", "role").distinct()
+    if materialize_devices:
+        device_roles = materialize(device_roles)
     visitors = device_roles.where(F.col("role").isin(*VISITOR_ROLES) & F.col("device_id").isNotNull()).select(
         F.col("device_id").alias("final_user_id"), F.col("role").alias("customer_type")
     )
