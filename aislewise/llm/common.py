@@ -73,3 +73,35 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
 def held_out(id_col: Column, parts: int, part: int) -> Column:
     """crc32 of the id's text modulo ``parts`` equals ``part``; a null id is never held out."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % parts == part, F.lit(False))
+
+
+#: Bits of the map of ids. The table that holds it has at most ``2**(MAP_BITS - 6)`` rows.
+MAP_BITS = 22
+
+
+def maybe_in(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
+    """``df`` with a boolean column ``maybe``: false only if the value is not in ``ids`` (one column).
+
+    A bit map of hashed ids decides, which has at most 65,536 rows of two numbers however many ids
+    there are, so it is safe to broadcast. With very many ids it says true too often, never false
+    wrongly. A null is never in ``ids``."""
+    size = 1 << MAP_BITS
+    slot = f"cast(pmod(xxhash64(`{ids.columns[0]}`), {size}) as int)"
+    marks = ids.groupBy(F.expr(f"shiftright({slot}, 6)").alias("map_word")).agg(F.expr(f"bit_or(shiftleft(1L, {slot} & 63))").alias("map_bits"))
+    out = df.withColumn("map_slot", F.expr(f"cast(pmod(xxhash64(`{col}`), {size}) as int)"))
+    out = out.join(F.broadcast(marks), F.expr("shiftright(map_slot, 6)") == F.col("map_word"), "left")
+    found = F.expr(f"`{col}` IS NOT NULL AND map_bits IS NOT NULL AND (shiftright(map_bits, map_slot & 63) & 1L) = 1L")
+    return out.withColumn("maybe", found).drop("map_slot", "map_word", "map_bits")
+
+
+def without_ids(df: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose id is not in ``dropped`` (one column); rows with a null id stay. Only
+    rows that the bit map of dropped ids finds are shuffled; all others pass by."""
+    names = df.columns
+    renamed = df.toDF(*[f"in_{i}" for i in range(len(names))])
+    key = f"in_{names.index(id_col)}"
+    ids = dropped.select(F.col(dropped.columns[0]).alias("dropped_id")).where("dropped_id IS NOT NULL").distinct()
+    marked = maybe_in(renamed, key, ids)
+    sure = marked.where("NOT maybe").drop("maybe")
+    risky = marked.where("maybe").drop("maybe").join(ids, F.col(key) == F.col("dropped_id"), "left_anti")
+    return sure.unionByName(risky).toDF(*names)

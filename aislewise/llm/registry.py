@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aislewise.llm import bpe_pairs, chat_windows, quality_rules, token_counts
+from aislewise.llm import bpe_pairs, chat_windows, minhash_dups, quality_rules, token_counts
 from aislewise.llm.common import default_tokenizer, table
 
 
@@ -15,6 +15,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op4_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dups.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = bpe_pairs.encode_texts(docs, default_tokenizer("word_bpe_49k.json"), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -38,6 +42,7 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
+    "op4_minhash_near_dups": op4_minhash_near_dups,
     "op6_bpe_pair_index": op6_bpe_pair_index,
     "op8_quality_cascade": op8_quality_cascade,
     "op10_chat_windows": op10_chat_windows,
