@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aislewise.llm import bpe_pairs, chat_windows, minhash_dups, quality_rules, token_counts
+from aislewise.llm import bpe_pairs, byte_cnn, chat_windows, edit_decontam, minhash_dups, quality_rules, token_counts
 from aislewise.llm.common import default_tokenizer, table
 
 
+def op1_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items found in documents; documents without one have no row."""
+    found = edit_decontam.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts.count_tokens(table(spark, sf_dir, "documents"), default_tokenizer("piece_bpe_32k.model"))
     return out.withColumnRenamed("id", "doc_id")
@@ -19,6 +25,10 @@ def op4_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dups.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op5_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.predict_languages(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = bpe_pairs.encode_texts(docs, default_tokenizer("word_bpe_49k.json"), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -41,8 +51,10 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_edit_decontamination": op1_edit_decontamination,
     "op3_token_counts": op3_token_counts,
     "op4_minhash_near_dups": op4_minhash_near_dups,
+    "op5_byte_cnn_language": op5_byte_cnn_language,
     "op6_bpe_pair_index": op6_bpe_pair_index,
     "op8_quality_cascade": op8_quality_cascade,
     "op10_chat_windows": op10_chat_windows,
