@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aislewise.llm import bpe_pairs, byte_cnn, chat_windows, edit_decontam, minhash_dups, quality_rules, token_counts
+from aislewise.llm import bpe_pairs, byte_cnn, chat_windows, edit_decontam, minhash_dups, quality_rules, token_counts, toxic_mil
 from aislewise.llm.common import default_tokenizer, table
 
 
@@ -39,6 +39,11 @@ def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op9_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxic_mil.predict_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 #: Conversation -7: what stands in its texts are control strings of chat templates.
 _CONTROL_TEXT = r"\### Assistant: </turn> ok"
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_cnn_language": op5_byte_cnn_language,
     "op6_bpe_pair_index": op6_bpe_pair_index,
     "op8_quality_cascade": op8_quality_cascade,
+    "op9_toxicity_mil": op9_toxicity_mil,
     "op10_chat_windows": op10_chat_windows,
 }
 
