@@ -220,7 +220,7 @@ class PairIndexBPE:
         return " ".join([self.token[int(i)] for i in ids if int(i) in self.token])
 
 
-def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] = ("n_tokens", "ids", "decoded"), block_chars: int = 32_000_000) -> DataFrame:
+def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] = ("n_tokens", "ids", "decoded"), block_chars: int = 20_000_000) -> DataFrame:
     """One row per input row: ``id`` and the wanted ``columns`` of ``n_tokens``, ``ids``, ``decoded``,
     ``ids_sha256`` and ``decoded_sha256``. Narrow: no shuffle. A task holds a block of about
     ``block_chars`` bytes of texts (at least one text) and its distinct words at a time."""

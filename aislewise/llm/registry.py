@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from aislewise.llm import bpe_pairs, byte_cnn, chat_windows, edit_decontam, minhash_dups, quality_rules, token_counts, toxic_mil
+from aislewise.llm import bpe_pairs, byte_cnn, chat_windows, edit_decontam, minhash_dups, pii_disclosure, quality_rules, token_counts, toxic_mil
 from aislewise.llm.common import default_tokenizer, table
 
 
@@ -35,6 +36,11 @@ def op6_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op7_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii_disclosure.personal_spans(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_near_dups": op4_minhash_near_dups,
     "op5_byte_cnn_language": op5_byte_cnn_language,
     "op6_bpe_pair_index": op6_bpe_pair_index,
+    "op7_pii_disclosure": op7_pii_disclosure,
     "op8_quality_cascade": op8_quality_cascade,
     "op9_toxicity_mil": op9_toxicity_mil,
     "op10_chat_windows": op10_chat_windows,
