@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aislewise.llm import bpe_pairs, byte_cnn, chat_windows, edit_decontam, minhash_dups, pii_disclosure, quality_rules, token_counts, toxic_mil
+from aislewise.llm import bpe_pairs, byte_cnn, chat_windows, edit_decontam, minhash_dups, pii_disclosure, quality_rules, suffix_dups, token_counts, toxic_mil
 from aislewise.llm.common import default_tokenizer, table
 
 
@@ -17,6 +17,11 @@ def op1_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op2_suffix_lpf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dups.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts.count_tokens(table(spark, sf_dir, "documents"), default_tokenizer("piece_bpe_32k.model"))
     return out.withColumnRenamed("id", "doc_id")
@@ -63,6 +68,7 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_edit_decontamination": op1_edit_decontamination,
+    "op2_suffix_lpf_dedup": op2_suffix_lpf_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_minhash_near_dups": op4_minhash_near_dups,
     "op5_byte_cnn_language": op5_byte_cnn_language,
