@@ -1,9 +1,9 @@
 """Numeric helpers that give the same answer on every engine and every run.
 
-Money columns hold two-decimal values; summing them as DECIMAL is exact and
-independent of the order in which partitions are combined. Rounding goes
-through a DECIMAL cast so a half is rounded away from zero on the decimal
-value, not on the nearest binary double.
+Money is summed as DECIMAL with nine digits after the point (and 19 before): exact for
+amounts of up to nine decimals, whatever their currency's smallest unit, and independent of the
+order in which partitions are combined. Rounding goes through a DECIMAL cast so a half is
+rounded away from zero on the decimal value, not on the nearest binary double.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,2)"
+MONEY = "decimal(28,9)"
 
 
 def _c(col: str | Column) -> Column:
@@ -24,7 +24,7 @@ def round_half_up(col: str | Column, digits: int = 0) -> Column:
 
 
 def money_sum(col: str | Column) -> Column:
-    """Exact SUM of a two-decimal money column, as DOUBLE."""
+    """Exact SUM of a money column, as DOUBLE."""
     return F.sum(_c(col).cast(MONEY)).cast("double")
 
 

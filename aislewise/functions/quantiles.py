@@ -7,7 +7,8 @@ Spark's own ``percentile_disc`` keeps every distinct value of the column in
 one aggregation buffer and merges them in a single final task. Here:
 
 1. rows collapse to (value, multiplicity) with a partially aggregated group-by;
-   every later step reads this table, so the input is scanned once;
+   every later step uses all columns of this table, so that Spark reuses its one
+   exchange and scans the input once;
 2. ``percentile_approx`` over the distinct values supplies ``pivots - 1`` cut
    points (one small row), so buckets hold similar numbers of distinct values;
 3. each distinct value gets the bucket ``#cut points < value`` (a binary search
@@ -41,6 +42,12 @@ def _dbl(x: float) -> str:
     return f"{float(x)!r}D"
 
 
+def value_counts(df: DataFrame, col: str) -> DataFrame:
+    """Distinct values ``__x`` (as DOUBLE, no NULLs) and how often each occurs, ``__c``."""
+    vals = df.selectExpr(f"CAST(`{col}` AS DOUBLE) AS __x").where("__x IS NOT NULL")
+    return vals.groupBy("__x").agg(F.expr("count(1) AS __c"))
+
+
 def percentiles(
     df: DataFrame,
     col: str,
@@ -53,18 +60,20 @@ def percentiles(
     """One-row DataFrame with a DOUBLE column per requested percentile (NULLs ignored)."""
     if len(ps) != len(names):
         raise ValueError("one name per percentile")
-    vals = df.selectExpr(f"CAST(`{col}` AS DOUBLE) AS __x").where("__x IS NOT NULL")
     if not exact:
+        vals = df.selectExpr(f"CAST(`{col}` AS DOUBLE) AS __x").where("__x IS NOT NULL")
         wanted = ", ".join(_dbl(p) for p in ps)
         return vals.selectExpr(f"percentile_approx(__x, array({wanted}), {accuracy}) AS __q").selectExpr(
             *[f"__q[{i}] AS `{n}`" for i, n in enumerate(names)]
         )
 
     cuts = ", ".join(_dbl(i / pivots) for i in range(1, pivots))
-    counts = vals.groupBy("__x").agg(F.expr("count(1) AS __c"))
+    counts = value_counts(df, col)
     head = counts.selectExpr(f"percentile_approx(__x, array({cuts}), {accuracy}) AS __piv", "sum(__c) AS __n")
     # head is a global aggregate: exactly one row, so broadcasting it is bounded.
-    bucketed = counts.crossJoin(F.broadcast(head.select("__piv"))).selectExpr(
+    # The condition on __n, always true here, keeps the count in head: without it the exchange
+    # below head would be pruned to other columns than the others and made a second time.
+    bucketed = counts.crossJoin(F.broadcast(head)).where("__n > 0").selectExpr(
         "__x", "__c", f"{_count_below('__x', '__piv', 0, pivots - 1)} AS __bk"
     )
     running = "sum(__bc) OVER (ORDER BY __bk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"

@@ -19,6 +19,11 @@ def weekday_name(ts: str | Column) -> Column:
     return F.date_format(_c(ts), "EEEE")
 
 
+def weekday_name_of(index: str | Column) -> Column:
+    """The name of a weekday index (1 = Sunday). For use after an aggregate, on its few rows."""
+    return F.date_format(F.date_add(F.lit("2023-01-01").cast("date"), _c(index) - F.lit(1)), "EEEE")
+
+
 def weekday_index(ts: str | Column) -> Column:
     """1 = Sunday ... 7 = Saturday."""
     return F.dayofweek(_c(ts))
@@ -43,7 +48,3 @@ def sunday_week_start(ts: str | Column) -> Column:
     """The Sunday on or before the date."""
     d = F.to_date(_c(ts))
     return F.date_sub(d, F.dayofweek(d) - F.lit(1))
-
-
-def calendar_days_between(start: str | Column, end: str | Column) -> Column:
-    return F.datediff(F.to_date(_c(end)), F.to_date(_c(start)))

@@ -21,6 +21,9 @@ def visitor_roster(sales: DataFrame, geo: DataFrame, materialize_devices: bool =
     * an identified customer never seen by a device contributes (customer_id, no_phone),
       found with an anti join of distinct customers against distinct devices;
     * a ping without a device id would contribute (NULL, no_phone).
+
+    With ``materialize_devices`` a job writes the distinct (device, role) when this function is
+    called, and the result is a snapshot of the pings at that time; without it, all is lazy.
     """
     # One pass over the pings: distinct (device, role), device-sized, is written once and feeds
     # all three device-side parts (otherwise each part's filter, pushed below the distinct,
@@ -64,26 +67,30 @@ def device_profiles(geo: DataFrame) -> DataFrame:
     Home area is the area with most pings (ties: the smaller area name). All aggregates are
     partial (map-side) so a device with a huge share of the pings is still spread over tasks.
     """
-    g = geo.where(F.col("device_id").isNotNull())
-    days = g.groupBy("device_id", F.to_date("timestamp").alias("visit_date")).agg(
-        F.min("timestamp").alias("__t0"), F.max("timestamp").alias("__t1")
-    )
-    per_device = days.groupBy("device_id").agg(
-        F.sum(whole_minutes("__t0", "__t1")).alias("on_site_minutes"),
-        F.count(whole_minutes("__t0", "__t1")).alias("timed_days"),
-        F.count("visit_date").alias("visit_days"),
-        F.min("visit_date").alias("first_day"),
-        F.max("visit_date").alias("last_day"),
-        F.min("__t0").alias("first_seen"),
-    )
-    area_counts = g.groupBy("device_id", "area").agg(F.count(F.lit(1)).alias("__n"))
-    ranked = Window.partitionBy("device_id").orderBy(F.desc("__n"), F.asc_nulls_last("area"))
-    home = (
-        area_counts.withColumn("__rn", F.row_number().over(ranked))
-        .where(F.col("__rn") == 1)
-        .select("device_id", F.col("area").alias("main_area"))
+    pieces = (
+        geo.where(F.col("device_id").isNotNull())
+        .groupBy("device_id", F.to_date("timestamp").alias("d"), "area")
+        .agg(F.min("timestamp").alias("t0"), F.max("timestamp").alias("t1"), F.count(F.lit(1)).alias("n"))
+    )
+    # Each (device, day, area) counts for its day and for its area. Both roll-ups go through one
+    # aggregate, so that the pings are read and shuffled once.
+    both = pieces.selectExpr(
+        "device_id",
+        """inline(array(named_struct('by_day', true, 'd', d, 'area', CAST(NULL AS STRING), 't0', t0, 't1', t1, 'n', 0L),
+                        named_struct('by_day', false, 'd', CAST(NULL AS DATE), 'area', area, 't0', CAST(NULL AS TIMESTAMP_NTZ), 't1', CAST(NULL AS TIMESTAMP_NTZ), 'n', n)))""",
+    )
+    parts = both.groupBy("device_id", "by_day", "d", "area").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.sum("n").alias("n"))
+    minutes = whole_minutes("t0", "t1")
+    rank = F.when(~F.col("by_day"), F.struct((-F.col("n")).alias("most"), F.col("area").isNull().alias("none"), F.col("area").alias("area")))
+    return parts.groupBy("device_id").agg(
+        F.sum(minutes).alias("on_site_minutes"),
+        F.count(minutes).alias("timed_days"),
+        F.count("d").alias("visit_days"),
+        F.min("d").alias("first_day"),
+        F.max("d").alias("last_day"),
+        F.min("t0").alias("first_seen"),
+        F.min(rank)["area"].alias("main_area"),
     )
-    return per_device.join(home, "device_id")
 
 
 def classify_entities(
@@ -112,8 +119,9 @@ def classify_entities(
     ``(last_day - first_day) / (days - 1)``.
 
     The device profile (one row per device) is read twice, for the rules and for the
-    supermarket's first-seen time; ``materialize_profiles`` writes it once to the checkpoint
-    folder so the pings are aggregated once.
+    supermarket's first-seen time; with ``materialize_profiles`` a job writes it to the
+    checkpoint folder when this function is called, so the pings are aggregated once. The result
+    is then a snapshot of the pings at that time; without it, all of it is lazy.
     """
     p = device_profiles(geo)
     if materialize_profiles:

@@ -6,35 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aislewise.functions.numeric import ratio, round_half_up
-from aislewise.functions.timeparts import hour_of_day, sunday_week, sunday_week_start, weekday_index, weekday_name
+from aislewise.functions.timeparts import hour_of_day, sunday_week, sunday_week_start, weekday_index, weekday_name_of
 from aislewise.sources.schemas import FOOT_TRAFFIC_ROLES, VISITOR_ROLES
 
 
 def daily_visitors(geo: DataFrame) -> DataFrame:
     """Distinct devices per weekday over the whole period, Sunday first."""
     return (
-        geo.groupBy(weekday_name("timestamp").alias("day_name"), weekday_index("timestamp").alias("__dow"))
+        geo.groupBy(weekday_index("timestamp").alias("__dow"))
         .agg(F.countDistinct("device_id").alias("unique_visitors"))
         .orderBy("__dow")
-        .select("day_name", "unique_visitors")
+        .select(weekday_name_of("__dow").alias("day_name"), "unique_visitors")
     )
 
 
 def traffic_heatmap(geo: DataFrame) -> DataFrame:
     """Per weekday and hour: distinct devices seen in the slot over the whole period divided by the
-    number of distinct dates with a ping in that slot, rounded to one digit."""
-    return (
-        geo.groupBy(
-            weekday_name("timestamp").alias("day_name"),
-            weekday_index("timestamp").alias("day_sort"),
-            hour_of_day("timestamp").alias("hour_of_day"),
-        )
-        .agg(
-            round_half_up(
-                ratio(F.countDistinct("device_id"), F.countDistinct(F.to_date("timestamp"))), 1
-            ).alias("avg_visitors")
-        )
-        .orderBy("day_sort", "hour_of_day")
+    number of distinct dates with a ping in that slot, rounded to one digit.
+
+    The pings first collapse to distinct (device, date, hour), combined map-side; the two distinct
+    counts then expand those rows, not the pings. The day's name is made from the result's rows."""
+    seen = geo.select("device_id", F.to_date("timestamp").alias("__d"), hour_of_day("timestamp").alias("hour_of_day")).distinct()
+    slots = seen.groupBy(weekday_index("__d").alias("day_sort"), "hour_of_day").agg(
+        round_half_up(ratio(F.countDistinct("device_id"), F.countDistinct("__d")), 1).alias("avg_visitors")
+    )
+    return slots.select(weekday_name_of("day_sort").alias("day_name"), "day_sort", "hour_of_day", "avg_visitors").orderBy(
+        "day_sort", "hour_of_day"
     )
 
 
@@ -56,15 +53,13 @@ def foot_traffic(geo: DataFrame, sales: DataFrame) -> DataFrame:
         "timestamp", F.col("device_id").alias("distinct_user_id")
     )
     buyers = sales.select("timestamp", F.coalesce("customer_id", "sale_id").alias("distinct_user_id"))
-    return (
+    slots = (
         visitors.unionByName(buyers)
-        .groupBy(
-            weekday_name("timestamp").alias("day_name"),
-            weekday_index("timestamp").alias("day_index"),
-            hour_of_day("timestamp").alias("hour_of_day"),
-        )
+        .groupBy(weekday_index("timestamp").alias("day_index"), hour_of_day("timestamp").alias("hour_of_day"))
         .agg(F.countDistinct("distinct_user_id").alias("total_foot_traffic"))
-        .orderBy("day_index", "hour_of_day")
+    )
+    return slots.select(weekday_name_of("day_index").alias("day_name"), "day_index", "hour_of_day", "total_foot_traffic").orderBy(
+        "day_index", "hour_of_day"
     )
 
 

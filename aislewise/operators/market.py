@@ -15,16 +15,16 @@ from aislewise.functions.numeric import ratio, round_half_up, share_pct
 HOUSEHOLD_SIZE = 3.3  # persons per household, fixed value of the original analysis
 
 
-def trim_name(col: str, all_whitespace: bool = False):
-    """TRIM of a city name. Spark's ``trim`` strips blanks only; ``all_whitespace`` strips any
-    Unicode whitespace (tabs, no-break spaces, ...), as the original warehouse's TRIM does."""
+def trim_name(col: str, all_whitespace: bool = True):
+    """TRIM of a city name: any Unicode whitespace (tabs, no-break spaces, ...), as the original
+    warehouse's TRIM does. Without ``all_whitespace`` blanks only, as Spark's ``trim``."""
     if all_whitespace:
         return F.regexp_replace(F.col(col), r"(?U)^\s+|\s+$", "")
     return F.trim(F.col(col))
 
 
 def market_saturation(
-    city: DataFrame, branches: DataFrame, min_population: int = 10000, all_whitespace: bool = False
+    city: DataFrame, branches: DataFrame, min_population: int = 10000, all_whitespace: bool = True
 ) -> DataFrame:
     """Residents per supermarket for cities above ``min_population`` that have a branch."""
     pop = city.select(trim_name("city_name", all_whitespace).alias("city_name"), "total_population").where(
@@ -47,7 +47,7 @@ def market_saturation(
 
 
 def estimated_households(
-    city: DataFrame, name: str, household_size: float = HOUSEHOLD_SIZE, all_whitespace: bool = False
+    city: DataFrame, name: str, household_size: float = HOUSEHOLD_SIZE, all_whitespace: bool = True
 ) -> DataFrame:
     """Population rows of the city (matched after trimming, returned untrimmed) and households."""
     return city.where(trim_name("city_name", all_whitespace) == name).select(
@@ -57,7 +57,7 @@ def estimated_households(
     )
 
 
-def city_population_of(city: DataFrame, name: str, all_whitespace: bool = False) -> DataFrame:
+def city_population_of(city: DataFrame, name: str, all_whitespace: bool = True) -> DataFrame:
     """One row: the population recorded for the city (largest if listed twice)."""
     return city.where(trim_name("city_name", all_whitespace) == name).agg(F.max("total_population").alias("__population"))
 
@@ -67,7 +67,7 @@ def residents_per_branch(
     name: str,
     population: int | DataFrame | None = None,
     city: DataFrame | None = None,
-    all_whitespace: bool = False,
+    all_whitespace: bool = True,
 ) -> DataFrame:
     """Branches in the city grouped by the raw city spelling, and residents per branch.
 
@@ -89,7 +89,7 @@ def residents_per_branch(
 
 
 def market_share(
-    sales: DataFrame, city: DataFrame, name: str, household_size: float = HOUSEHOLD_SIZE, all_whitespace: bool = False
+    sales: DataFrame, city: DataFrame, name: str, household_size: float = HOUSEHOLD_SIZE, all_whitespace: bool = True
 ) -> DataFrame:
     """Identified customers as a percentage of the city's estimated households.
 

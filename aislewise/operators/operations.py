@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aislewise.functions.numeric import ratio, round_half_up
-from aislewise.functions.timeparts import hour_of_day, weekday_index, weekday_name, whole_minutes
+from aislewise.functions.timeparts import hour_of_day, weekday_index, weekday_name, weekday_name_of, whole_minutes
 from aislewise.operators.sessions import session_summary
 from aislewise.sources.schemas import CHECKOUT_ROLES
 
 
-def capture_rate(geo: DataFrame, gap_minutes: int = 60, min_minutes: int = 1, bucket_minutes: int = 60) -> DataFrame:
+def capture_rate(geo: DataFrame, gap_minutes: int = 60, min_minutes: int = 1) -> DataFrame:
     """Pings received versus one expected per minute, over device sessions (new session after a
     gap of more than ``gap_minutes`` whole minutes) lasting more than ``min_minutes``."""
-    s = session_summary(geo, ["device_id"], "timestamp", gap_minutes, bucket_minutes)
+    s = session_summary(geo, ["device_id"], "timestamp", gap_minutes)
     s = s.withColumn("__dur", whole_minutes("session_begin", "session_end")).where(F.col("__dur") > min_minutes)
     return s.agg(
         F.sum("n_rows").alias("total_pings_received"),
@@ -54,11 +54,12 @@ def missed_deliveries(
     during the delivery window on that date.
 
     One aggregation per date decides both conditions, so the pings are read and shuffled once
-    (the original reads them twice and anti-joins the dates)."""
-    is_open = weekday_index("timestamp").isin(*weekdays) & (F.col("role") != ignore_role)
+    (the original reads them twice and anti-joins the dates). Both concern the same date, so
+    other weekdays are dropped before it."""
+    is_open = F.col("role") != ignore_role
     delivered = (F.col("area") == area) & hour_of_day("timestamp").between(first_hour, last_hour)
     flag = lambda cond: F.max(F.when(cond, F.lit(1)).otherwise(F.lit(0)))  # noqa: E731  NULL counts as false
-    per_day = geo.groupBy(F.to_date("timestamp").alias("missed_date")).agg(
+    per_day = geo.where(weekday_index("timestamp").isin(*weekdays)).groupBy(F.to_date("timestamp").alias("missed_date")).agg(
         flag(is_open).alias("__open"), flag(delivered).alias("__delivered")
     )
     return (
@@ -73,7 +74,6 @@ def staffing_gap(
     sales: DataFrame,
     gap_minutes: int = 20,
     cashiers_at_registers_only: bool = False,
-    bucket_minutes: int = 60,
 ) -> DataFrame:
     """Registers needed versus cashiers present per weekday and hour.
 
@@ -86,7 +86,7 @@ def staffing_gap(
     checkout = geo.where((F.col("area") == "CASH_REGISTERS") & F.col("role").isin(*CHECKOUT_ROLES)).select(
         "device_id", "timestamp"
     )
-    sessions = session_summary(checkout, ["device_id"], "timestamp", gap_minutes, bucket_minutes)
+    sessions = session_summary(checkout, ["device_id"], "timestamp", gap_minutes)
     durations = sessions.select(
         weekday_index("session_begin").alias("num_day"),
         hour_of_day("session_begin").alias("hour"),
@@ -96,7 +96,6 @@ def staffing_gap(
 
     volume = sales.groupBy(
         weekday_index("timestamp").alias("num_day"),
-        weekday_name("timestamp").alias("day_name"),
         hour_of_day("timestamp").alias("hour"),
     ).agg(F.count("sale_id").alias("customers_demand"))
 
@@ -114,7 +113,7 @@ def staffing_gap(
         .join(F.broadcast(staffed), ["num_day", "hour"], "left")
         .select(
             "num_day",
-            "day_name",
+            weekday_name_of("num_day").alias("day_name"),
             "hour",
             "customers_demand",
             round_half_up("__avg", 2).alias("avg_process_time"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aislewise.functions.numeric import MONEY, money_avg, money_sum, ratio, round_half_up, share_pct
-from aislewise.functions.quantiles import percentiles
+from aislewise.functions.quantiles import percentiles, value_counts
 from aislewise.functions.timeparts import hour_of_day, weekday_index
 from aislewise.operators.sessions import session_counts
 from aislewise.sources.schemas import SEGMENTS, TIME_CATEGORIES, WALK_IN
@@ -43,15 +43,12 @@ def basket_by_dwell_bucket(sales: DataFrame, width: int = 5, max_minutes: int =
     )
 
 
-def daily_visit_distribution(
-    sales: DataFrame, gap_minutes: int = 60, id_col: str = "customer_id", bucket_minutes: int = 60
-) -> DataFrame:
+def daily_visit_distribution(sales: DataFrame, gap_minutes: int = 60, id_col: str = "customer_id") -> DataFrame:
     """How many separate visits (gap > ``gap_minutes``) a customer makes on one day, as a
-    distribution. Tickets without a customer form one group per day, as in the original."""
+    distribution. Tickets without a customer form one group per day, as in the original; each ticket
+    without a timestamp is a visit of its own, on an unknown day."""
     rows = sales.select(F.col(id_col).alias("__id"), "timestamp", F.to_date("timestamp").alias("visit_date"))
-    visits = session_counts(rows, ["__id", "visit_date"], "timestamp", gap_minutes, bucket_minutes).withColumnRenamed(
-        "n_sessions", "visits_in_one_day"
-    )
+    visits = session_counts(rows, ["__id", "visit_date"], "timestamp", gap_minutes).withColumnRenamed("n_sessions", "visits_in_one_day")
     cases = visits.groupBy("visits_in_one_day").agg(F.count(F.lit(1)).alias("number_of_cases"))
     everything = Window.partitionBy()  # over the distribution rows only
     return cases.select(
@@ -70,18 +67,25 @@ def iqr_fence(sales: DataFrame, k: float = 1.5, exact: bool = True) -> DataFrame
 
 
 def ticket_outliers(sales: DataFrame, k: float = 1.5, exact: bool = True) -> DataFrame:
-    """Average ticket with and without the tickets above the IQR fence, and their count."""
+    """Average ticket with and without the tickets above the IQR fence, and their count.
+
+    Everything comes from the table of distinct totals and their numbers, which the percentiles
+    need anyway: the tickets are read and shuffled once, and the rest works on that exchange."""
     fence = iqr_fence(sales, k, exact).select("upper_fence")
-    inside = F.col("total") <= F.col("upper_fence")
-    return (
-        sales.select("total")
-        .crossJoin(F.broadcast(fence))  # one row
-        .agg(
-            money_avg("total").alias("avg_with_outliers"),
-            money_avg(F.when(inside, F.col("total"))).alias("avg_without_outliers"),
-            F.count_if(F.col("total") > F.col("upper_fence")).alias("outliers_count"),
-            F.max("upper_fence").alias("threshold_value"),
-        )
+    counts = value_counts(sales, "total")
+    # decimal(26,9) * decimal(11,0) is decimal(38,9): exact
+    amount = F.col("__x").cast("decimal(26,9)") * F.col("__c").cast("decimal(11,0)")
+    inside = F.col("__x") <= F.col("upper_fence")
+
+    def mean(condition=None):
+        s, n = (amount, F.col("__c")) if condition is None else (F.when(condition, amount), F.when(condition, F.col("__c")))
+        return ratio(F.sum(s), F.sum(n))
+
+    return counts.crossJoin(F.broadcast(fence)).agg(  # one row
+        mean().alias("avg_with_outliers"),
+        mean(inside).alias("avg_without_outliers"),
+        F.coalesce(F.sum(F.when(F.col("__x") > F.col("upper_fence"), F.col("__c"))), F.lit(0).cast("long")).alias("outliers_count"),
+        F.max("upper_fence").alias("threshold_value"),
     )
 
 

@@ -9,17 +9,18 @@ ORDER BY ts``. That puts every row of a key into one task: a device that sends
 a third of all pings would be sorted by a single task. Here it is done in two
 levels, with no join back to the rows:
 
-1. rows are windowed per (key, time bucket of ``bucket_minutes``, an hour by
-   default) and reduced to *local* sessions (begin, end, row count) in each bucket;
-2. local sessions of a key are sessionized again by the same rule, using
-   ``end`` of the previous local session and ``begin`` of the next. Local
-   sessions of one key number at most about (time span / bucket) x
-   (bucket / gap + 1), so this window is bounded by time, not by row count.
-   A key so hot that one bucket of it is too much for a task takes a smaller
-   ``bucket_minutes``; the answer does not depend on it.
-
-Two local sessions in one bucket are always more than the gap apart, so step 2
-only merges sessions across a bucket edge, and the result equals the textbook one.
+1. two rows in one time bucket of ``gap_minutes + 1`` minutes are less than that
+   apart, so their whole minutes never exceed the gap: all rows of a key in one
+   bucket belong to one session. They reduce to (begin, end, row count) by an
+   ordinary aggregate, combined map-side; however hot a key is, and NULL is one,
+   no task sorts or receives its rows;
+2. the buckets of a key are sessionized by the rule, with the ``end`` of the
+   bucket before and the ``begin`` of the next. A key has at most (time span /
+   bucket) of them, so this window is bounded by time, not by row count.
+
+Rows without a timestamp have no previous row to be near to: each of them is a
+visit of its own in ``session_counts``. ``session_summary`` reports those of a key
+as one row without times.
 """
 
 from __future__ import annotations
@@ -32,102 +33,40 @@ from pyspark.sql import functions as F
 from aislewise.functions.timeparts import whole_minutes
 
 
-def _time_bucket(ts: Column, bucket_minutes: int) -> Column:
+def _time_bucket(ts: Column, minutes_wide: int) -> Column:
     """Monotone integer bucket of a timestamp_ntz; no time-zone arithmetic involved."""
     minutes = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long") * 1440 + F.hour(ts) * 60 + F.minute(ts)
-    return F.floor(minutes / F.lit(bucket_minutes)).cast("long")
+    return F.floor(minutes / F.lit(minutes_wide)).cast("long")
 
 
-def _number_sessions(df: DataFrame, part: list[str], begin: str, end: str, gap_minutes: int, out: str) -> DataFrame:
-    """Within ``part`` ordered by ``begin``: ``out`` = running count of starts, where a row starts a
-    session if the previous row's ``end`` is missing or more than ``gap_minutes`` whole minutes back."""
-    w = Window.partitionBy(*part).orderBy(begin)
-    prev_end = F.lag(F.col(end)).over(w)
-    starts = (prev_end.isNull() | (whole_minutes(prev_end, F.col(begin)) > F.lit(gap_minutes))).cast("int")
-    # Default frame (RANGE .. CURRENT ROW): rows with equal ``begin`` are peers and share a number.
-    return df.withColumn("__start", starts).withColumn(out, F.sum("__start").over(w).cast("long"))
-
-
-def _local_sessions(df: DataFrame, keys: Sequence[str], ts: str, gap_minutes: int, bucket_minutes: int) -> DataFrame:
-    """Local sessions per (key, bucket), numbered per key by the gap rule (``__sid``, ``__start``)."""
+def _bucket_sessions(df: DataFrame, keys: Sequence[str], ts: str, gap_minutes: int) -> DataFrame:
+    """One row per (key, bucket) with ``__start`` (1 where a session begins) and ``__sid``."""
     rows = df.select(F.struct(*[F.col(k) for k in keys]).alias("__key"), F.col(ts).alias("__t"))
-    rows = rows.withColumn("__b", _time_bucket(F.col("__t"), bucket_minutes))
-    rows = _number_sessions(rows, ["__key", "__b"], "__t", "__t", gap_minutes, "__seq")
-    # Grouping by (key, bucket, seq) reuses the (key, bucket) partitioning of the window: no shuffle.
-    local = rows.groupBy("__key", "__b", "__seq").agg(
+    local = rows.groupBy("__key", _time_bucket(F.col("__t"), gap_minutes + 1).alias("__b")).agg(
         F.min("__t").alias("__begin"), F.max("__t").alias("__end"), F.count(F.lit(1)).alias("__n")
     )
-    return _number_sessions(local, ["__key"], "__begin", "__end", gap_minutes, "__sid")
+    w = Window.partitionBy("__key").orderBy("__begin")  # NULL, if any, comes first and is never near
+    prev_end = F.lag("__end").over(w)
+    starts = (prev_end.isNull() | (whole_minutes(prev_end, F.col("__begin")) > F.lit(gap_minutes))).cast("int")
+    return local.withColumn("__start", starts).withColumn("__sid", F.sum("__start").over(w).cast("long"))
 
 
-def session_counts(
-    df: DataFrame,
-    keys: Sequence[str],
-    ts: str = "timestamp",
-    gap_minutes: int = 60,
-    bucket_minutes: int = 60,
-) -> DataFrame:
-    """One row per key: ``keys`` and ``n_sessions``. Counted where the local sessions already sit
+def session_counts(df: DataFrame, keys: Sequence[str], ts: str = "timestamp", gap_minutes: int = 60) -> DataFrame:
+    """One row per key: ``keys`` and ``n_sessions``. Counted where the buckets already sit
     partitioned by key, so no further shuffle is needed."""
-    local = _local_sessions(df, keys, ts, gap_minutes, bucket_minutes)
-    counts = local.groupBy("__key").agg(F.sum("__start").alias("n_sessions"))
+    local = _bucket_sessions(df, keys, ts, gap_minutes)
+    sessions = F.when(F.col("__begin").isNull(), F.col("__n")).otherwise(F.col("__start"))
+    counts = local.groupBy("__key").agg(F.sum(sessions).alias("n_sessions"))
     return counts.select(*[F.col("__key")[k].alias(k) for k in keys], "n_sessions")
 
 
-def session_summary(
-    df: DataFrame,
-    keys: Sequence[str],
-    ts: str = "timestamp",
-    gap_minutes: int = 60,
-    bucket_minutes: int = 60,
-) -> DataFrame:
+def session_summary(df: DataFrame, keys: Sequence[str], ts: str = "timestamp", gap_minutes: int = 60) -> DataFrame:
     """One row per session: ``keys``, session_begin, session_end, n_rows.
 
     Rows whose key columns are NULL form one key, as in ``PARTITION BY``.
     """
-    local = _local_sessions(df, keys, ts, gap_minutes, bucket_minutes)
+    local = _bucket_sessions(df, keys, ts, gap_minutes)
     sessions = local.groupBy("__key", "__sid").agg(
         F.min("__begin").alias("session_begin"), F.max("__end").alias("session_end"), F.sum("__n").alias("n_rows")
     )
     return sessions.select(*[F.col("__key")[k].alias(k) for k in keys], "session_begin", "session_end", "n_rows")
-
-
-def sessionize(
-    df: DataFrame,
-    keys: Sequence[str],
-    ts: str = "timestamp",
-    gap_minutes: int = 60,
-    bucket_minutes: int = 60,
-) -> DataFrame:
-    """Row-level labels: ``df`` plus ``session_begin``, the first timestamp of the row's session
-    (unique within ``keys``; the rows with ``ts == session_begin`` open the session).
-
-    Sessions come from :func:`session_summary`; each row is attached to the session of its key
-    that covers it, with an equi-join on (key, time bucket) against every bucket a session spans.
-    Prefer ``session_summary`` when only per-session figures are needed: it reads the rows once.
-    """
-    sessions = session_summary(df, keys, ts, gap_minutes, bucket_minutes)
-    spans = sessions.select(
-        F.struct(*[F.col(k) for k in keys]).alias("__skey"),
-        "session_begin",
-        "session_end",
-        F.explode(
-            F.sequence(_time_bucket(F.col("session_begin"), bucket_minutes), _time_bucket(F.col("session_end"), bucket_minutes))
-        ).alias("__sb"),
-    )
-    rows = df.withColumn("__key", F.struct(*[F.col(k) for k in keys])).withColumn("__b", _time_bucket(F.col(ts), bucket_minutes))
-    cond = (
-        (F.col("__key") == F.col("__skey"))
-        & (F.col("__b") == F.col("__sb"))
-        & (F.col(ts) >= F.col("session_begin"))
-        & (F.col(ts) <= F.col("session_end"))
-    )
-    return rows.join(spans, cond, "inner").select(*df.columns, "session_begin")
-
-
-def sessionize_naive(df: DataFrame, keys: Sequence[str], ts: str = "timestamp", gap_minutes: int = 60) -> DataFrame:
-    """Textbook lag + running-sum form, one window partition per key. Used to test the above."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    prev = F.lag(F.col(ts)).over(w)
-    flagged = df.withColumn("__new", (prev.isNull() | (whole_minutes(prev, F.col(ts)) > gap_minutes)).cast("int"))
-    return flagged.withColumn("session_id", F.sum("__new").over(w)).withColumnRenamed("__new", "session_start")

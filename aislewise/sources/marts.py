@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_kpi_marts(results: Mapping[str, DataFrame], path: str, mode: str = "overwrite") -> list[str]:
@@ -22,7 +24,8 @@ def write_kpi_marts(results: Mapping[str, DataFrame], path: str, mode: str = "ov
 
 
 def build_kpis(tables, names=None) -> dict[str, DataFrame]:
-    """Every registered KPI (or the given ``names``) over ``tables``, as lazy DataFrames."""
+    """Every registered KPI (or the given ``names``) over ``tables``, as DataFrames. They are lazy, but
+    for ``classify_entities`` and ``visitor_roster``, which write a device-sized table first."""
     from aislewise.plans.registry import OPS
 
     return {name: op(tables) for name, op in OPS.items() if names is None or name in names}
@@ -32,9 +35,16 @@ def read_kpi_mart(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(path, name))
 
 
+def mart_sizes(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+    """``mart`` and ``n_rows`` of each written mart."""
+    sizes = [read_kpi_mart(spark, path, n).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("mart"), "n_rows") for n in names]
+    return reduce(DataFrame.unionByName, sizes)
+
+
 def register_views(spark: SparkSession, tables, prefix: str = "kpi_") -> list[str]:
     """Register the canonical tables (geolocation, log_sales, city_population, supermarkets) and
-    every KPI (``<prefix><name>``) as temporary views, for ``spark.sql`` users. Views are lazy."""
+    every KPI (``<prefix><name>``) as temporary views, for ``spark.sql`` users. Views are lazy, but those of ``classify_entities`` and ``visitor_roster``
+    hold the devices as they were when the views were registered."""
     tables.geo.createOrReplaceTempView("geolocation")
     tables.sales.createOrReplaceTempView("log_sales")
     tables.city.createOrReplaceTempView("city_population")

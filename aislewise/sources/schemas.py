@@ -63,7 +63,6 @@ FOOT_TRAFFIC_ROLES = ("customer", "repeat_customer", "one_time_customer", "not_p
 CHECKOUT_ROLES = ("repeat_customer", "one_time_customer", "no_phone")
 NO_PHONE = "no_phone"
 WALK_IN = "No App (Walk-in)"
-AREAS = ("WAREHOUSE", "HEAD_OFFICE", "CASH_REGISTERS", "BUTCHERY", "PARKING", "SUPERMARKET")
 SEGMENTS = ("1. Small (<300)", "2. Medium (300-800)", "3. Large (800-1139)", "4. Whale (>1139)")
 TIME_CATEGORIES = ("Peak (Thu-Fri)", "Off-Peak (Quiet)", "Regular")
 # Area a static role is assumed to stand in when its ping is inaccurate.

@@ -11,7 +11,6 @@ pruning still reach the Parquet readers.
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -142,18 +141,17 @@ def supermarkets_from_supplier(supplier: DataFrame, nation: DataFrame) -> DataFr
 class DriverTables(RetailTables):
     """The four canonical tables over the driver's files, each built on first use.
 
-    With ``materialize``, each canonical table is derived once and written as Parquet under the
-    shared checkpoint folder (``partitions`` files), and queries read that: the derivation runs
-    once per session instead of once per query, scans split into parallel tasks, and filters on
-    canonical columns (role, area, customer) are pushed into the Parquet reader.
+    By default every use derives the rows from the files as they are at that time; the derivation
+    is a projection of the scan. With ``materialize``, each canonical table is written once as
+    Parquet under the checkpoint folder (deleted with the session) and read from there, so that
+    filters on canonical columns (role, area, customer) reach the Parquet reader. That is a copy of
+    the facts: worth it for many queries in one session, and never done unasked.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = False, partitions: int | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = False):
         self._spark = spark
         self._dir = sf_dir
         self._materialize = materialize
-        self._partitions = partitions
-        self._target = None
         self._built: dict[str, DataFrame] = {}
 
     def _read(self, name: str) -> DataFrame:
@@ -170,18 +168,9 @@ class DriverTables(RetailTables):
         return self._built[key]
 
     def _write_canonical(self, canonical: str, df: DataFrame) -> DataFrame:
-        from aislewise.session import checkpoint_dir
-
-        if self._target is None:
-            self._target = os.path.join(checkpoint_dir(self._spark), "canonical", uuid.uuid4().hex)
-        path = os.path.join(self._target, canonical)
-        # Keep the scan's own splits (about spark.sql.files.maxPartitionBytes each); only an
-        # input that arrives in fewer partitions than there are cores is spread out first.
-        want = self._partitions or self._spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < want:
-            df = df.repartition(want)
-        df.write.mode("overwrite").parquet(path)
-        return validate(self._spark.read.schema(df.schema).parquet(path), canonical)
+        from aislewise.session import materialize
+
+        return validate(materialize(df), canonical)
 
     @property
     def geo(self) -> DataFrame:

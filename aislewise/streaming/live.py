@@ -12,12 +12,12 @@ session with a fixed-offset zone (UTC) so the cast is monotone.
 from __future__ import annotations
 
 import os
-import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aislewise.session import checkpoint_dir
+from aislewise.session import scratch_path
 
 
 def as_event_time(geo: DataFrame, ts: str = "timestamp") -> DataFrame:
@@ -64,8 +64,8 @@ def stream_hourly_visitors(geo: DataFrame, roles: tuple[str, ...] | None = None,
 
 def run_available_now(stream: DataFrame, name: str, spark: SparkSession) -> DataFrame:
     """Run ``stream`` over everything available, append to Parquet under the checkpoint folder,
-    wait for it, and return the written result as a batch DataFrame."""
-    base = os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
+    wait for it, and return the written result as a batch DataFrame (empty if nothing came)."""
+    base = scratch_path(spark, f"streams-{name}")
     query = (
         stream.writeStream.format("parquet")
         .outputMode("append")
@@ -75,13 +75,23 @@ def run_available_now(stream: DataFrame, name: str, spark: SparkSession) -> Data
         .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(os.path.join(base, "out"))
+    try:
+        return spark.read.schema(stream.schema).parquet(os.path.join(base, "out"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], stream.schema)  # no batch ran, so there is no folder
 
 
 def _event_stream(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
-    """A file stream over one of the driver's Parquet tables (every file present is one batch)."""
-    schema = spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet")).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    """A file stream over one of the driver's Parquet tables, a folder of part files or a single file
+    (every file present is one batch). A stream reads folders only, so a single file is picked by
+    its name from the folder it stands in."""
+    path = os.path.join(sf_dir, f"{table}.parquet")
+    rows = spark.read.parquet(path)
+    reader = spark.readStream.schema(rows.schema)
+    single = all(f.rstrip("/").endswith(f"/{table}.parquet") for f in rows.inputFiles())
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir) if single else reader.parquet(path)
 
 
 def _wall_clock(df: DataFrame, *cols: str) -> DataFrame:

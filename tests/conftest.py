@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -11,10 +12,17 @@ SF_CHECK = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def event_folder():
+    """Where the session's event log goes, which the plan tests read."""
+    return tempfile.mkdtemp(prefix="aislewise-events-")
+
+
+@pytest.fixture(scope="session")
+def spark(event_folder):
     from aislewise.session import checkpoint_dir, local_session
+    from tools.executed_plans import ExecutedPlans
 
-    s = local_session(cores="*", shuffle_partitions=8, app="aislewise-tests")
+    s = local_session(cores="*", shuffle_partitions=8, app="aislewise-tests", conf=ExecutedPlans.conf(event_folder))
     s.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(s)
     yield s

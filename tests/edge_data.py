@@ -81,6 +81,10 @@ def geolocation_rows():
     ping("newyear", D(2022, 1, 1, 10, 0), "SUPERMARKET", 5.0, "one_time_customer")
     ping("newyear", D(2020, 12, 31, 10, 0), "SUPERMARKET", 5.0, "one_time_customer")
     ping("walker", D(2024, 3, 5, 16, 0), "SUPERMARKET", 5.0, "customer")
+    # Pings without a timestamp.
+    ping("timeless", None, "CASH_REGISTERS", 5.0, "one_time_customer")
+    ping("timeless", None, "CASH_REGISTERS", 5.0, "one_time_customer")
+    ping("gapdev", None, "CASH_REGISTERS", 5.0, "one_time_customer")
     # A ping without a device id.
     ping(None, D(2024, 3, 5, 16, 0), "SUPERMARKET", 5.0, "repeat_customer")
     return rows
@@ -123,6 +127,13 @@ def log_sales_rows():
     sale("ghost", sat + 13 * 60 * M, 10.0)
     sale(None, fri + 12 * 60 * M, 12000.0)
     sale("walker", wed + 16 * 60 * M, 55.55)
+    # Totals below a cent, and tickets without a timestamp (each a visit of its own).
+    sale("c3digits", wed + 12 * 60 * M, 12.345, dwell=5)
+    sale("c3digits", wed + 12 * 60 * M, 12.345, dwell=5)
+    sale("fraction", sat + 12 * 60 * M, 9000.000004)
+    sale("fraction", sat + 12 * 60 * M, 9000.000003)
+    for who in ("undated", "undated", "undated", "walker", None, None):
+        sale(who, None, 1.5)
     for k in range(12):
         sale(f"r{k:02d}", D(2024, 2, 1 + k, 8 + k) + k * M, 40.0 + 7.25 * k, "physical_card", 10 + k)
     return rows
@@ -136,6 +147,7 @@ CITY_ROWS = [
     ("Delta ", 20000),
     ("Epsilon", 10000),
     ("Zeta", 10001),
+    ("\tEta\u00a0", 30000),
 ]
 BRANCH_ROWS = [
     ("1", "NATION_15"),
@@ -148,6 +160,8 @@ BRANCH_ROWS = [
     ("8", "Omega"),
     ("9", "Zeta"),
     ("10", "Epsilon"),
+    ("11", "Eta\t"),
+    ("12", "\u2003NATION_15\r\n"),
 ]
 
 TABLES = {

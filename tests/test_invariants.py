@@ -55,7 +55,7 @@ def test_trim_all_whitespace(spark):
 
     city = spark.createDataFrame([("\tX ", 50000), (" Y ", 40000)], "city_name string, total_population bigint")
     branches = spark.createDataFrame([("1", "X"), ("2", "Y\t")], "branch_id string, city string")
-    assert estimated_households(city, "X").count() == 0  # blanks only: the tab stays
-    assert estimated_households(city, "X", all_whitespace=True).count() == 1
-    got = {r["city_name"] for r in market_saturation(city, branches, all_whitespace=True).collect()}
+    assert estimated_households(city, "X", all_whitespace=False).count() == 0  # blanks only: the tab stays
+    assert estimated_households(city, "X").count() == 1
+    got = {r["city_name"] for r in market_saturation(city, branches).collect()}
     assert got == {"X", "Y"}

@@ -37,17 +37,18 @@ def generate(seed):
             t += dt.timedelta(minutes=step, seconds=rnd.choice([0, 0, 59]), microseconds=rnd.choice([0, 999999]))
             if rnd.random() < 0.05:
                 role = rnd.choice(ROLES)  # a device seen under two roles
-            geo.append((dev, t, rnd.choice(AREAS), rnd.choice([None, 30.0, 12.5, 45.0, rnd.uniform(0, 80)]), role))
+            geo.append((dev, None if rnd.random() < 0.02 else t, rnd.choice(AREAS), rnd.choice([None, 30.0, 12.5, 45.0, rnd.uniform(0, 80)]), role))
     sales = []
     customers = devices[:9] + ["x1", "x2", None, None]
     for i in range(160):
         cust = rnd.choice(customers)
         t = base + dt.timedelta(days=rnd.randint(0, 60), hours=rnd.randint(0, 14), minutes=rnd.choice([0, 30, 60, 61, 121]))
-        total = round(rnd.choice([rnd.uniform(1, 400), rnd.uniform(300, 1500), 300.0, 800.0, 1139.0, 0.0, -5.0, 9000.0]), 2)
+        total = round(rnd.choice([rnd.uniform(1, 400), rnd.uniform(300, 1500), 300.0, 800.0, 1139.0, 0.0, -5.0, 9000.0]), rnd.choice([2, 2, 3, 5]))
+        t = None if rnd.random() < 0.03 else t
         dwell = None if cust is None else rnd.choice([None, 0, 1, 2, 5, 119, 120, 121, 179, 180, rnd.randint(1, 200)])
         sales.append((f"S{i:04d}", cust, t, total, rnd.choice(METHODS), dwell))
-    cities = [(f" {STORE_CITY} ", 60156), (" A ", 20000), ("B", 0), ("C ", 9000), (" D", 10001)]
-    branches = [("1", STORE_CITY), ("2", f"{STORE_CITY} "), ("3", "A"), ("4", "A "), ("5", " D"), ("6", "E")]
+    cities = [(f" {STORE_CITY} ", 60156), (" A ", 20000), ("B", 0), ("C ", 9000), (" D", 10001), ("\tT\u00a0", 20001)]
+    branches = [("1", STORE_CITY), ("2", f"{STORE_CITY} "), ("3", "A"), ("4", "A "), ("5", " D"), ("6", "E"), ("7", "T ")]
     return {"geolocation": geo, "log_sales": sales, "city_population": cities, "supermarkets": branches}
 
 
