@@ -4,11 +4,16 @@
    under hash functions ``(a*x + b) mod 2**64``. Equal sets have equal fingerprints: one class each.
 2. Classes whose minima agree in all rows of a band share a bucket. A pair at the threshold misses all
    buckets with probability ``(1 - s**rows)**bands``: 5e-11 at 0.85 and 5e-8 at 0.8 by default.
-3. In rounds, a few pivots of each bucket are compared with the bucket's other members, unless both
-   are in one component already; then the pivots leave the bucket. A bucket whose members are all in
-   one component is done. So nearly equal texts, however many, cost one comparison each, and buckets
-   of unlike texts are worked off completely: no member is capped and no link between components is
-   skipped. The signatures' agreement is the first test, the full sets decide.
+3. Classes that share a bucket, directly or over others, form a candidate group (components by
+   alternating large-star and small-star over one edge to the least class of each bucket); all links
+   are inside groups. A group of up to ``group_rows`` classes and ``group_items`` shingles is linked
+   in one task: from a class, those not yet reached are tested, by the agreement of signatures
+   first and by the full sets then; those linked are reached, and tested from in turn. Only the
+   links that reach a class are given out, fewer than classes.
+   A larger group is linked by rounds over all machines: a few pivots of each bucket are compared
+   with the bucket's other members, unless both are in one component already; then the pivots leave
+   the bucket, and a bucket whose members are all in one component is done. So no member is capped
+   and no link between components is skipped.
 4. Links become components by alternating large-star and small-star.
 
 Copies are never paired: they share a class. Nothing of the documents goes to the driver but counts.
@@ -23,12 +28,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from aislewise.llm.common import arrow_schema, columns_of, maybe_in, without_ids, written
@@ -124,50 +129,94 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "u binary, v binary")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, shingle: int = 5, bands: int = 32, rows: int = 4) -> DataFrame:
-    """One row per input row: ``id``, ``n_shingles``, ``component_id`` (the least id of all rows that
-    links lead to) and ``kept`` (it is the row's own id). Rows link if their shingle sets' similarity
-    is ``percent`` or more of 100."""
-    n_hashes = bands * rows
-    base = written(sketches(df, id_col, text_col, shingle, n_hashes), "sketches")
-    full = base.where("fp IS NOT NULL")
-    classes = full.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("sig").alias("sig"))
-    classes = written(classes, "classes")
-    banded = classes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"), "sig")
-    banded = banded.select(F.expr(f"xxhash64(band, substring(sig, {4 * rows} * band + 1, {4 * rows}))").alias("bucket"), F.col("fp").alias("node"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = written(banded.join(shared, "bucket"), "members")
-    sigs = classes.join(members.select(F.col("node").alias("fp")).distinct(), "fp", "left_semi").select("fp", "rep", "sig")
-    sigs = written(sigs, "signatures")
-    sets = written(candidate_sets(df, id_col, text_col, shingle, sigs.where("rep IS NOT NULL").select("fp", "rep")), "sets")
-
-    labels = None  # node, component
-    edges = None
-    pivots_of = 1
+def reach(sigs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join the members of a group that are connected: a spanning forest of the graph whose
+    edges are all pairs at the threshold."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    least = percent / 100 - SLACK
+    left, found = np.arange(len(sets)), []
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            near = left[(sigs[left] == sigs[i]).mean(axis=1) >= least]
+            if not len(near):
+                continue
+            items = np.concatenate([sets[j] for j in near])
+            at = np.minimum(np.searchsorted(sets[i], items), sizes[i] - 1)
+            both = np.add.reduceat((sets[i][at] == items).astype(np.int64), np.cumsum(sizes[near]) - sizes[near])
+            new = near[100 * both >= percent * (sizes[i] + sizes[near] - both)]
+            found += [(i, j) for j in new.tolist()]
+            queue += new.tolist()
+            left = np.setdiff1d(left, new, assume_unique=True)
+    return found
+
+
+def _links_in_groups(rows: DataFrame, percent: int) -> DataFrame:
+    """Links ``u``, ``v`` within groups: rows of ``component``, ``fp``, ``sig``, ``items``."""
+    arrow = arrow_schema(rows.sparkSession, "u binary, v binary")
+    dealt = rows.select("component", "fp", "sig", "items").repartition(F.col("component")).sortWithinPartitions("component", "fp")
+
+    def run(batches):
+        members = ((c, fp, sig, items) for batch in batches for c, fp, sig, items in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
+        for _, group in groupby(members, key=lambda r: r[0]):
+            group = list(group)
+            sigs = np.frombuffer(b"".join(r[2] for r in group), "<u4").reshape(len(group), -1)
+            found = reach(sigs, [np.frombuffer(r[3], "<u8") for r in group], percent)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([group[i][1] for i, _ in found], pa.binary()), pa.array([group[j][1] for _, j in found], pa.binary())], schema=arrow)
+
+    return dealt.mapInArrow(run, "u binary, v binary")
+
+
+def _links_by_pivots(members: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, n_hashes: int) -> DataFrame | None:
+    """Links among ``members`` (``bucket``, ``node``) of any size, in rounds of pivots."""
+    labels, edges, pivots_of = None, None, 1
     while True:
-        now = members if labels is None else members.join(labels, "node", "left")
-        now = now.withColumn("comp", F.coalesce("component", "node")).select("bucket", "node", "comp") if labels is not None else now.select("bucket", "node", F.col("node").alias("comp"))
+        now = members.withColumn("comp", F.col("node")) if labels is None else members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
         mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
         now = written(now.join(mixed, "bucket"), "members")
         if now.isEmpty():
-            break
+            return edges
         ranked = now.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))).where(F.col("rank") <= pivots_of)
         pivots = written(ranked.select("bucket", F.col("node").alias("pivot"), F.col("comp").alias("p_comp")), "pivots")
         pairs = now.join(pivots, "bucket").where("comp <> p_comp").select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")).distinct()
-        close = _agreeing(pairs, sigs, percent / 100 - SLACK, n_hashes)
-        found = _linked(close, sets, percent)
-        edges = found if edges is None else found.unionByName(edges)
-        edges = written(edges, "links")
+        found = _linked(_agreeing(pairs, sigs, percent / 100 - SLACK, n_hashes), sets, percent)
+        edges = written(found if edges is None else found.unionByName(edges), "links")
         labels = connected_components(edges)
         members = now.join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
-        pivots_of *= 8
+        pivots_of *= 4
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, shingle: int = 5, bands: int = 32, rows: int = 4, group_rows: int = 5000, group_items: int = 8_000_000) -> DataFrame:
+    """One row per input row: ``id``, ``n_shingles``, ``component_id`` (the least id of all rows that
+    links lead to) and ``kept`` (it is the row's own id). Rows link if their shingle sets' similarity
+    is ``percent`` or more of 100."""
+    n_hashes = bands * rows
+    base = written(sketches(df, id_col, text_col, shingle, n_hashes), "sketches")
+    full = base.where("fp IS NOT NULL")
+    classes = full.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"))
+    classes = written(classes, "classes")
+    banded = classes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"), "sig")
+    banded = banded.select(F.expr(f"xxhash64(band, substring(sig, {4 * rows} * band + 1, {4 * rows}))").alias("bucket"), F.col("fp").alias("node"))
+    shared = banded.groupBy("bucket").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").select("bucket", "v")
+    groups = connected_components(banded.join(shared, "bucket").select(F.col("node").alias("u"), "v").where("u <> v").distinct())
+    groups = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
+    groups = written(groups.withColumnRenamed("node", "fp").join(classes, "fp").select("component", "fp", "rep", "n", "sig"), "groups")
+    sizes = groups.groupBy("component").agg((F.count("*") > group_rows).alias("long"), (F.sum("n") > group_items).alias("wide")).where("long OR wide").select("component")
+    sets = written(candidate_sets(df, id_col, text_col, shingle, groups.where("rep IS NOT NULL").select("fp", "rep")), "sets")
+
+    large = written(groups.join(sizes, "component", "left_semi"), "large-groups")
+    small = groups.join(large.select("component").distinct(), "component", "left_anti").join(sets, "fp")
+    edges = written(_links_in_groups(small, percent), "links")
+    if not large.isEmpty():
+        nodes = large.select(F.col("fp").alias("node"))
+        more = _links_by_pivots(banded.join(nodes, "node", "left_semi"), large, sets, percent, n_hashes)
+        edges = edges if more is None else edges.unionByName(more)
+    labels = connected_components(edges)
 
     # Classes that are not a component of one row by themselves.
-    known = classes.select("fp", "rep", "copies")
-    if labels is not None:
-        known = known.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
-    else:
-        known = known.withColumn("component", F.lit(None).cast(T.BinaryType()))
+    known = classes.select("fp", "rep", "copies").join(labels.withColumnRenamed("node", "fp"), "fp", "left")
     known = known.withColumn("component", F.coalesce("component", "fp"))
     least = known.groupBy("component").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("size")).where("size > 1")
     moved = known.join(least, "component").select("fp", "component_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from aislewise.llm import bpe_pairs, byte_cnn, chat_windows, edit_decontam, minhash_dups, pii_disclosure, quality_rules, suffix_dups, token_counts, toxic_mil
 from aislewise.llm.common import default_tokenizer, table
+from aislewise.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,5 +79,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity_mil": op9_toxicity_mil,
     "op10_chat_windows": op10_chat_windows,
 }
-
-ORACLES: dict[str, str] = {}
