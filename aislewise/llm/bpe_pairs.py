@@ -186,7 +186,7 @@ class PairIndexBPE:
             plan[i] = [w for x in parts if x for w in ([-1 - self.special[x]] if x in self.special else map(number, self._pretokens(x)))]
         ids, ends = self._encode_words(list(words))
         data, tokens = ids.tobytes(), list(map(self.token.__getitem__, ids.tolist()))
-        begins = [0, *ends[:-1]]
+        begins = [0, *ends][: len(ends)]
         raw = [data[4 * b : 4 * e] for b, e in zip(begins, ends, strict=True)]
         read = [" ".join(tokens[b:e]) for b, e in zip(begins, ends, strict=True)]
         if any(p and min(p) < 0 for p in plan):

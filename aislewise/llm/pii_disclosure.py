@@ -2,14 +2,13 @@
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers by fixed patterns. The
 values of these spans are the protected entities. A term (a word of four or more letters or digits)
-discloses an entity if seeing it tells, with much certainty, which entity is near: over all
-documents, of ``df`` different texts with the term, ``joint`` different surroundings of the entity
-hold it, and
+discloses an entity if seeing it tells, with much certainty, which entity is near. ``df`` of all ``rows``
+documents hold the term; ``around`` surroundings of the entity are found in them (``AROUND`` characters
+on either side of each span), and ``joint`` of those hold the term. The term is disclosing if
 
-- ``joint >= min_joint``: not by a single passage and its copies;
+- at least ``min_different`` of those surroundings differ: not a single passage and its copies;
 - ``joint / df >= min_share``: the probability of the entity, given the term;
-- ``log2(joint * texts / (df * around)) >= min_bits``: their pointwise mutual information, ``around``
-  being the number of the entity's different surroundings.
+- ``log2(joint * rows / (df * around)) >= min_bits``: their pointwise mutual information.
 
 All other occurrences of such terms would give the entity away even where it is masked, so each is
 a span of kind ``term``, to be removed like the rest.
@@ -21,7 +20,7 @@ begins (or where the match before ended), which gives the same leftmost matches
 patterns but neither recursion nor repeated scans on long runs.
 
 Defined cases: a null or empty text has no spans; rows are judged by their texts, so repeated rows
-give equal results and count once as evidence; null ids are kept; extra columns are ignored; empty
+give equal results; null ids are kept; extra columns are ignored; empty
 input gives no rows.
 """
 
@@ -105,23 +104,26 @@ def find_spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return written(rows.select("id", "text_key", "spans", F.expr(around).alias("around")), "spans")
 
 
-def disclosing_terms(df: DataFrame, spans: DataFrame, text_col: str, min_joint: int = 2, min_share: float = 0.5, min_bits: float = 3.0) -> tuple[DataFrame, DataFrame]:
+def disclosing_terms(df: DataFrame, spans: DataFrame, text_col: str, min_different: int = 2, min_share: float = 0.5, min_bits: float = 3.0) -> tuple[DataFrame, DataFrame]:
     """The terms that disclose an entity (``term``), and which texts hold candidates (``term``,
-    ``text_key``). Every count is aggregated before it is shuffled."""
-    seen = spans.select(F.explode("around").alias("a")).select("a.entity", "a.words").distinct()
-    many = seen.groupBy("entity").agg(F.count("*").alias("around")).where(F.col("around") >= min_joint)
-    seen = seen.join(many, "entity")
-    joint = seen.select("entity", "around", F.explode(F.expr(_terms("words"))).alias("term")).groupBy("term", "entity", "around").agg(F.count("*").alias("joint")).where(F.col("joint") >= min_joint)
-    joint = written(joint, "joint")
-    texts = df.select(F.coalesce(df[text_col], F.lit("")).alias("text"))
+    ``text_key``). Every count is aggregated before it is shuffled.
+
+    A term that stands near many entities cannot have its share with one, so the surroundings alone
+    rule out all common words; only what is left is counted over whole texts."""
+    seen = spans.select(F.explode("around").alias("a")).groupBy("a.entity", "a.words").agg(F.count("*").alias("n"))
+    many = seen.groupBy("entity").agg(F.count("*").alias("different"), F.sum("n").alias("around")).where(F.col("different") >= min_different).drop("different")
+    pairs = seen.join(many, "entity").select("entity", "around", "n", F.explode(F.expr(_terms("words"))).alias("term"))
+    joint = pairs.groupBy("term", "entity", "around").agg(F.count("*").alias("different"), F.sum("n").alias("joint")).where(F.col("different") >= min_different)
+    near = spans.select(F.explode(F.expr(f"array_distinct(flatten(transform(around, a -> {_terms('a.words')})))")).alias("term")).groupBy("term").agg(F.count("*").alias("near"))
+    joint = written(joint.join(near, "term").where(F.col("joint") >= min_share * F.col("near")).select("term", "entity", "around", "joint"), "joint")
     wanted = joint.select("term").distinct()
-    words = texts.select(F.md5("text").alias("text_key"), F.explode(F.expr(_terms("text"))).alias("term"))
-    if joint.isEmpty():  # nothing stands near one entity in two surroundings
+    if joint.isEmpty():
         return wanted, joint.select("term", F.lit("").alias("text_key"))
-    holds = written(maybe_in(words, "term", wanted).where("maybe").select("term", "text_key").join(wanted, "term", "left_semi").distinct(), "holds")
-    total = spans.select("text_key").distinct().count()
+    texts = df.select(F.coalesce(df[text_col], F.lit("")).alias("text"))
+    words = texts.select(F.md5("text").alias("text_key"), F.explode(F.expr(_terms("text"))).alias("term"))
+    holds = written(maybe_in(words, "term", wanted).where("maybe").select("term", "text_key").join(wanted, "term", "left_semi"), "holds")
     counts = joint.join(holds.groupBy("term").agg(F.count("*").alias("df")), "term")
-    bits = F.log2(F.col("joint") * F.lit(total) / (F.col("df") * F.col("around")))
+    bits = F.log2(F.col("joint") * F.lit(spans.count()) / (F.col("df") * F.col("around")))
     chosen = counts.where((F.col("joint") >= min_share * F.col("df")) & (bits >= min_bits)).select("term").distinct()
     return written(chosen, "terms"), holds
 

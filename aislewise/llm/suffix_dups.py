@@ -188,9 +188,11 @@ def _by_digest(contexts: DataFrame, length: int) -> DataFrame:
     return mine.groupBy("h", "around").agg(F.collect_list(F.when(F.col("later"), one)).alias("earlier"), F.collect_list(one).alias("copied"))
 
 
-def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, keep: str = "none", gram: int = 128, bucket_rows: int = 2000) -> DataFrame:
+def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, keep: str = "none", gram: int | None = None, bucket_rows: int = 2000) -> DataFrame:
     """``id``, ``t`` (xxhash64 of the text) and ``cover``, the runs of starts (first, last) whose strings
-    are to be removed, for every text that has some."""
+    are to be removed, for every text that has some. ``gram`` is the size of anchors in bytes, by
+    default a third of ``length`` and 128 at most."""
+    gram = gram or max(1, min(128, length // 3))
     if keep not in ("none", "first"):
         raise ValueError(keep)
     rows = _rows(df, id_col, text_col)
