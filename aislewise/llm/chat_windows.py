@@ -53,46 +53,52 @@ def format_turn(role: str, text: str) -> tuple[str, int, int]:
     return f"{head}{body}</turn>\n", len(head), len(head) + len(body)
 
 
+def _cost(turn: tuple[str, str, int]) -> int:
+    return max(1, turn[2])  # also of an empty turn, so that a window ends somewhere
+
+
 def windows_of(turns: Iterator[tuple[str, str, int]], budget: int, history: int) -> Iterator[list[tuple[str, str, int, bool]]]:
     """Turns ``(role, text, tokens)`` of one conversation as windows of ``(role, text, tokens, new)``."""
-    system: list[tuple[str, str, int]] = []
+    system: list[tuple[str, str, int]] = []  # the retained system turn
+    fresh = False  # no window holds it yet
     tail: list[tuple[str, str, int]] = []  # last turns of the window before
     waiting: list[tuple[str, str, int]] = []
     held = 0
 
     def cut(last: bool) -> Iterator[list]:
-        nonlocal tail, waiting, held
-        while waiting and (last or held + sum(t[2] for t in system) > budget):
-            fixed = sum(t[2] for t in system)
+        nonlocal tail, waiting, held, fresh
+        fixed = sum(map(_cost, system))
+        while waiting and (last or held + fixed > budget):
             past: list[tuple[str, str, int]] = []
             for t in reversed(tail):
-                if len(past) == history or fixed + sum(x[2] for x in past) + t[2] > budget // 2:
+                if len(past) == history or fixed + sum(map(_cost, past)) + _cost(t) > budget // 2:
                     break
                 past.insert(0, t)
-            sums = list(accumulate(t[2] for t in waiting))
-            room = budget - fixed - sum(t[2] for t in past)
-            n = bisect_right(sums, room)
+            sums = list(accumulate(map(_cost, waiting)))
+            n = bisect_right(sums, budget - fixed - sum(map(_cost, past)))
             if not n:  # the next turn does not fit: without history, then alone
                 past = []
                 n = max(1, bisect_right(sums, budget - fixed))
             if n == len(waiting) and not last:
                 return
             new, waiting = waiting[:n], waiting[n:]
-            held = sum(t[2] for t in waiting)
-            yield [(*t, False) for t in system + past] + [(*t, True) for t in new]
+            held = sum(map(_cost, waiting))
+            yield [(*t, fresh) for t in system] + [(*t, False) for t in past] + [(*t, True) for t in new]
+            fresh = False
             tail = (tail + new)[-history:] if history else []
 
     first = True
     for turn in turns:
-        if first and turn[0] == "system":
-            yield [(*turn, True)]
-            system = [turn] if turn[2] <= budget // 4 else []
+        if first and turn[0] == "system" and _cost(turn) <= budget // 4:
+            system, fresh = [turn], True
         else:
             waiting.append(turn)
-            held += turn[2]
+            held += _cost(turn)
             yield from cut(False)
         first = False
     yield from cut(True)
+    if fresh:  # a conversation of a system turn alone
+        yield [(*system[0], True)]
 
 
 def format_windows(df: DataFrame, make_counter: Callable[[], Callable[[list[str]], list[int]]], budget: int = 2048, history: int = 2, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -100,8 +106,8 @@ def format_windows(df: DataFrame, make_counter: Callable[[], Callable[[list[str]
     that earlier windows hold too), ``loss`` (pairs of begin and end in code points of ``text``) and
     ``over_budget``. ``make_counter`` makes a function from texts to numbers of tokens.
 
-    The system turn makes the first window by itself, and is repeated in all others if it takes at
-    most a quarter of the budget."""
+    A system turn at the head is repeated in every window if it takes at most a quarter of the budget,
+    and is a turn like any other else."""
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, window long, text string, n_tokens long, n_repeated long, loss array<struct<begin:long,end:long>>, over_budget boolean"
     arrow = arrow_schema(df.sparkSession, schema)

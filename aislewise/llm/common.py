@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import re
 import sys
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aislewise.session import checkpoint_dir
+from aislewise.session import scratch_path
 
 #: A word: any run without blanks, tabs and line ends.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -63,11 +62,10 @@ def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` written once as Parquet to the shared checkpoint folder and read back. This cuts the
-    lineage, and a lost executor cannot lose it."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    lineage, and a lost executor cannot lose it. It is deleted when the session's JVM ends."""
+    path = scratch_path(df.sparkSession, f"llm-{name}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def held_out(id_col: Column, parts: int, part: int) -> Column:

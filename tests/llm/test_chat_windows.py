@@ -54,7 +54,7 @@ def test_read_back_and_budgets(spark, budget, history):
         assert new and len(r["loss"]) == sum(a == "assistant" for a, _ in new)
         assert r["over_budget"] == (r["n_tokens"] > budget)
         if r["over_budget"]:  # a single turn that does not fit beside the system turn
-            assert len(new) == 1
+            assert len(new) == 1 or (len(new) == 2 and new[0][0] == "system")
         past = seen.setdefault(r["id"], [])
         repeated = turns[: r["n_repeated"]]
         if repeated and past[0][0] == "system" and repeated[0] == past[0]:
