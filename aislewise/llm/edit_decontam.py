@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from aislewise.llm.common import arrow_schema, columns_of
 
-MAX_ERROR = 0.05
+MAX_ERROR = 0.08
 BLOCK_BYTES = 4 << 20
 
 

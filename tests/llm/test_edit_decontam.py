@@ -68,7 +68,7 @@ def test_query_against_whole_items(spark):
     want = {(d["doc_id"], i["item_id"]) for d in docs for i in items if D.normal(i["text"]) in D.normal(d["text"] or "")}
     got = QUERIES["op1_edit_decontamination"](spark, base).collect()
     assert want and {(r["doc_id"], r["item_id"]) for r in got if r["distance"] == 0} == want
-    assert all(r["distance"] <= 0.05 * 400 for r in got)
+    assert all(r["distance"] <= 0.08 * 400 for r in got)
 
 
 def test_odd_rows(odd_documents, spark):
