@@ -26,7 +26,11 @@ def traffic_heatmap(geo: DataFrame) -> DataFrame:
 
     The pings first collapse to distinct (device, date, hour), combined map-side; the two distinct
     counts then expand those rows, not the pings. The day's name is made from the result's rows."""
-    seen = geo.select("device_id", F.to_date("timestamp").alias("__d"), hour_of_day("timestamp").alias("hour_of_day")).distinct()
+    # Counted, not only made distinct: Catalyst drops a plain distinct below distinct counts.
+    seen = geo.groupBy("device_id", F.to_date("timestamp").alias("__d"), hour_of_day("timestamp").alias("hour_of_day")).agg(
+        F.count(F.lit(1)).alias("__n")
+    )
+    seen = seen.where("__n > 0")
     slots = seen.groupBy(weekday_index("__d").alias("day_sort"), "hour_of_day").agg(
         round_half_up(ratio(F.countDistinct("device_id"), F.countDistinct("__d")), 1).alias("avg_visitors")
     )

@@ -45,8 +45,9 @@ class ExecutedPlans:
 
         def walk(node: dict) -> None:
             found.append(node)
-            for child in node["children"]:
-                walk(child)
+            if not node["nodeName"].startswith("Reused"):
+                for child in node["children"]:
+                    walk(child)
 
         for number, plan in self._all().items():
             if number not in self.seen:
