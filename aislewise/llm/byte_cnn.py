@@ -18,9 +18,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from aislewise.llm.common import columns_of, held_out, map_texts
+from aislewise.llm.common import chosen_by_hash, columns_of, held_out, map_texts
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -136,8 +135,7 @@ def training_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, le
     n = rows.select("lang").distinct().count()
     if not n:
         return []
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("lang", "id").withColumn("n", F.row_number().over(first)).where(F.col("n") <= max(1, sample_rows // n)).orderBy("n", "lang").limit(sample_rows)
+    chosen = chosen_by_hash(rows.select("id", "lang"), "lang", max(1, sample_rows // n)).orderBy("lang", "id").limit(sample_rows)
     ids = [r["id"] for r in chosen.select("id").collect()]
     found = rows.where(F.col("id").isin(ids)).select(F.substring("text", 1, chars).alias("text"), "lang", "id").orderBy("id", "lang", "text").limit(2 * sample_rows)
     return [(r["text"], r["lang"]) for r in found.collect()]

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from aislewise.session import scratch_path
 
@@ -103,3 +104,14 @@ def without_ids(df: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
     sure = marked.where("NOT maybe").drop("maybe")
     risky = marked.where("maybe").drop("maybe").join(ids, F.col(key) == F.col("dropped_id"), "left_anti")
     return sure.unionByName(risky).toDF(*names)
+
+
+def chosen_by_hash(rows: DataFrame, key: str, each: int) -> DataFrame:
+    """Of ``rows`` (``id`` and ``key``, without nulls) the ``each`` rows of every key with the least hashes
+    of their ids. The keys' counts give thresholds that about ``4 * each`` rows pass, so that no task
+    sorts more of a key, however many rows and partitions there are."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("key_rows"))
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    near = rows.join(counts, key).withColumn("place", place).where(F.col("place") * F.col("key_rows") <= F.lit(4 * each << 30))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("place", "id")))
+    return ranked.where(F.col("rank") <= each).select("id", key)

@@ -22,9 +22,8 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from aislewise.llm.common import columns_of, held_out, map_texts
+from aislewise.llm.common import chosen_by_hash, columns_of, held_out, map_texts
 
 BITS = 18
 #: First letters of a word that make a feature of their own.
@@ -131,8 +130,7 @@ def training_sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str
     marks = marks.where(~held_out(F.col("id"), parts, part))
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     usable = docs.select("id", F.length("text").alias("n")).where(F.col("n") <= max_chars).select("id")
-    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    chosen = marks.join(usable, "id", "left_semi").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_rows // 2)
+    chosen = chosen_by_hash(marks.join(usable, "id", "left_semi"), "y", sample_rows // 2)
     y = {r["id"]: int(r["y"] > 0) for r in chosen.select("id", "y").collect()}
     if not y:
         return []
