@@ -220,7 +220,7 @@ class PairIndexBPE:
         return " ".join([self.token[int(i)] for i in ids if int(i) in self.token])
 
 
-def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] = ("n_tokens", "ids", "decoded"), block_chars: int = 20_000_000) -> DataFrame:
+def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] = ("n_tokens", "ids", "decoded"), block_chars: int = 6_000_000) -> DataFrame:
     """One row per input row: ``id`` and the wanted ``columns`` of ``n_tokens``, ``ids``, ``decoded``,
     ``ids_sha256`` and ``decoded_sha256``. Narrow: no shuffle. A task holds a block of about
     ``block_chars`` bytes of texts (at least one text) and its distinct words at a time."""
@@ -237,10 +237,10 @@ def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 held.append(part)
                 chars += pc.sum(pc.binary_length(part.column(1))).as_py() or 0
                 if chars >= block_chars:
-                    yield block(bpe, held)
+                    yield from block(bpe, held)
                     held, chars = [], 0
         if held:
-            yield block(bpe, held)
+            yield from block(bpe, held)
 
     def block(bpe, held):
         rows = pa.Table.from_batches(held)
@@ -249,8 +249,12 @@ def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         coded = split.flatten().dictionary_encode()
         raw, read = bpe.encode_pieces(coded.dictionary.to_pylist())
         at, numbers = split.offsets.to_pylist(), coded.indices.to_numpy()
-        first = at[0]
-        out = {"id": rows.column(0).to_pylist()} | {c: [] for c in columns}
+        first, keys = at[0], rows.column(0).to_pylist()
+        for i in range(0, len(keys), 256):  # the result goes out in slices
+            yield slice_of(keys[i : i + 256], at[i : i + 257], first, numbers, raw, read)
+
+    def slice_of(keys, at, first, numbers, raw, read):
+        out = {"id": keys} | {c: [] for c in columns}
         for b, e in zip(at[:-1], at[1:], strict=True):
             doc = numbers[b - first : e - first].tolist()
             data = b"".join([raw[i] for i in doc])
