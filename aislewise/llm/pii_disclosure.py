@@ -1,12 +1,12 @@
 """Personal data and information-theoretic sanitisation, in DataFrame functions only.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers by fixed patterns. The
-values of these spans are the protected entities. A term (a word of four or more letters or digits)
-discloses an entity if seeing it tells, with much certainty, which entity is near. ``df`` of all ``rows``
-documents hold the term; ``around`` surroundings of the entity are found in them (``AROUND`` characters
-on either side of each span), and ``joint`` of those hold the term. The term is disclosing if
+values of these spans are the protected entities. A term (a word: a run of letters and digits, however
+short) discloses an entity if seeing it tells, with much certainty, which entity the document holds. Of
+all ``rows`` documents ``df`` hold the term anywhere, ``around`` hold the entity, and ``joint`` hold
+both, however far apart. The term is disclosing if
 
-- at least ``min_different`` of those surroundings differ: not a single passage and its copies;
+- at least ``min_different`` of the texts that hold both differ: not a single text and its copies;
 - ``joint / df >= min_share``: the probability of the entity, given the term;
 - ``log2(joint * rows / (df * around)) >= min_bits``: their pointwise mutual information.
 
@@ -58,8 +58,7 @@ _VALID: dict[str, str] = {
 }
 _SPAN = "struct<kind:string,begin:int,end:int,value:string>"
 _GROUP = 256
-TERM = r"[\p{L}\p{N}]{4,}"
-AROUND = 80
+TERM = r"[\p{L}\p{N}]++"
 
 
 def _sql(text: str) -> str:
@@ -95,43 +94,60 @@ def _terms(text: str) -> str:
 
 
 def find_spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``text_key`` (a digest of the text) and base ``spans`` of every row, with the surroundings
-    of each span as ``around``: a digest and its terms. Written once; the texts stay behind."""
+    """``id``, ``text_key`` (a digest of the text), base ``spans`` and ``entities`` (their distinct
+    values) of every row. Written once; the texts stay behind."""
     rows = df.select(df[id_col].alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
-    rows = rows.select("id", F.md5("text").alias("text_key"), base_spans().alias("spans"), "text")
-    side = f"concat(substring(text, greatest(s.begin - {AROUND}, 0) + 1, least(s.begin, {AROUND})), ' ', substring(text, s.end + 1, {AROUND}))"
-    around = f"transform(spans, s -> named_struct('entity', concat(s.kind, ':', lower(s.value)), 'words', {side}))"
-    return written(rows.select("id", "text_key", "spans", F.expr(around).alias("around")), "spans")
+    rows = rows.select("id", F.md5("text").alias("text_key"), base_spans().alias("spans"))
+    entities = F.expr("array_distinct(transform(spans, s -> concat(s.kind, ':', lower(s.value))))")
+    return written(rows.withColumn("entities", entities), "spans")
 
 
 def disclosing_terms(df: DataFrame, spans: DataFrame, text_col: str, min_different: int = 2, min_share: float = 0.5, min_bits: float = 3.0) -> tuple[DataFrame, DataFrame]:
-    """The terms that disclose an entity (``term``), and which texts hold candidates (``term``,
-    ``text_key``). Every count is aggregated before it is shuffled.
-
-    A term that stands near many entities cannot have its share with one, so the surroundings alone
-    rule out all common words; only what is left is counted over whole texts."""
-    seen = spans.select(F.explode("around").alias("a")).groupBy("a.entity", "a.words").agg(F.count("*").alias("n"))
-    many = seen.groupBy("entity").agg(F.count("*").alias("different"), F.sum("n").alias("around")).where(F.col("different") >= min_different).drop("different")
-    pairs = seen.join(many, "entity").select("entity", "around", "n", F.explode(F.expr(_terms("words"))).alias("term"))
-    joint = pairs.groupBy("term", "entity", "around").agg(F.count("*").alias("different"), F.sum("n").alias("joint")).where(F.col("different") >= min_different)
-    near = spans.select(F.explode(F.expr(f"array_distinct(flatten(transform(around, a -> {_terms('a.words')})))")).alias("term")).groupBy("term").agg(F.count("*").alias("near"))
-    joint = written(joint.join(near, "term").where(F.col("joint") >= min_share * F.col("near")).select("term", "entity", "around", "joint"), "joint")
-    wanted = joint.select("term").distinct()
-    if joint.isEmpty():
-        return wanted, joint.select("term", F.lit("").alias("text_key"))
-    texts = df.select(F.coalesce(df[text_col], F.lit("")).alias("text"))
-    words = texts.select(F.md5("text").alias("text_key"), F.explode(F.expr(_terms("text"))).alias("term"))
-    holds = written(maybe_in(words, "term", wanted).where("maybe").select("term", "text_key").join(wanted, "term", "left_semi"), "holds")
-    counts = joint.join(holds.groupBy("term").agg(F.count("*").alias("df")), "term")
-    bits = F.log2(F.col("joint") * F.lit(spans.count()) / (F.col("df") * F.col("around")))
-    chosen = counts.where((F.col("joint") >= min_share * F.col("df")) & (bits >= min_bits)).select("term").distinct()
-    return written(chosen, "terms"), holds
-
-
-def term_spans(df: DataFrame, text_col: str, chosen: DataFrame, holds: DataFrame) -> DataFrame:
+    """The terms that disclose an entity (``term``), and which texts hold them (``term``, ``text_key``).
+    Every count is aggregated before it is shuffled.
+
+    Exact bounds keep the counts small. ``joint <= df``, so an entity in more than ``rows / 2**min_bits``
+    documents has no disclosing term. ``near``, the rows with the term among those with any entity that
+    is left, is at most ``df``, and ``joint`` at most ``around``, so terms that stand in too many of
+    those for any of the entities are left out before pairs are made, and ``near`` in the place of ``df``
+    rules out most pairs; only what is left is counted over all texts."""
+    rows = spans.count()
+    slack = 1e-9  # of the logarithms, so that bounds never cut what the last test would keep
+    none = spans.sparkSession.createDataFrame([], "term string, text_key string")
+    if not rows:
+        return none.select("term"), none
+    one = spans.where("size(entities) > 0").groupBy("text_key").agg(F.first("entities").alias("entities"), F.count("*").alias("n"))
+    held = written(one.select("text_key", "n", F.explode("entities").alias("entity")), "entities")
+    many = held.groupBy("entity").agg(F.count("*").alias("different"), F.sum("n").alias("around"))
+    many = written(many.where((F.col("different") >= min_different) & (F.log2(rows / F.col("around")) >= min_bits - slack)).drop("different"), "many")
+    most = many.agg(F.max("around")).first()[0]
+    if most is None:
+        return none.select("term"), none
+    shared = held.join(many, "entity").groupBy("text_key", "n").agg(F.collect_list(F.struct("entity", "around")).alias("entities"))  # entities of one text
+    shared = written(shared, "shared")
+    texts = df.select(F.coalesce(df[text_col], F.lit("")).alias("text")).withColumn("text_key", F.md5("text"))
+    some = maybe_in(texts, "text_key", shared.select("text_key")).where("maybe").select("text", "text_key").dropDuplicates(["text_key"])
+    some = written(some.join(shared, "text_key").select("text_key", "n", "entities", F.expr(_terms("text")).alias("terms")), "shared-terms")
+    near = some.select("n", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("texts"), F.sum("n").alias("near"))
+    near = written(near.where((F.col("texts") >= min_different) & (F.col("near") * min_share <= most) & (F.log2(rows / F.col("near")) >= min_bits - slack)).drop("texts"), "near")
+    rare = maybe_in(some.select("n", "entities", F.explode("terms").alias("term")), "term", near.select("term")).where("maybe")
+    pairs = rare.select("n", "term", F.explode("entities").alias("e")).groupBy("term", "e.entity", "e.around").agg(F.count("*").alias("different"), F.sum("n").alias("joint"))
+    joint = pairs.where(F.col("different") >= min_different).join(near, "term")
+    bits = lambda df: F.log2(F.col("joint") * F.lit(rows) / (F.col(df) * F.col("around")))
+    joint = written(joint.where((F.col("joint") >= min_share * F.col("near")) & (bits("near") >= min_bits - slack)).select("term", "around", "joint"), "joint")
+    words = df.select(F.explode(F.expr(_terms(f"coalesce(`{text_col}`, '')"))).alias("term"))
+    counts = maybe_in(words, "term", joint.select("term")).where("maybe").groupBy("term").agg(F.count("*").alias("df"))
+    chosen = joint.join(counts, "term").where((F.col("joint") >= min_share * F.col("df")) & (bits("df") >= min_bits))
+    chosen = written(chosen.select("term").distinct(), "terms")
+    words = texts.select("text_key", F.explode(F.expr(_terms("text"))).alias("term"))
+    holds = maybe_in(words, "term", chosen).where("maybe").select("term", "text_key").join(chosen, "term", "left_semi")
+    return chosen, written(holds, "holds")
+
+
+def term_spans(df: DataFrame, text_col: str, holds: DataFrame) -> DataFrame:
     """``text_key`` and ``terms`` (spans of kind ``term``) of every text with a disclosing term. Only
     texts that a bit map of their digests finds are shuffled."""
-    hits = holds.join(chosen, "term", "left_semi").groupBy("text_key").agg(F.collect_set("term").alias("words"))  # words of one text
+    hits = holds.groupBy("text_key").agg(F.collect_set("term").alias("words"))  # words of one text
     texts = df.select(F.coalesce(df[text_col], F.lit("")).alias("text")).withColumn("text_key", F.md5("text"))
     some = maybe_in(texts, "text_key", hits.select("text_key")).where("maybe").select("text", "text_key").join(hits, "text_key").dropDuplicates(["text_key"])
     return written(some.select("text_key", F.expr(f"filter({_positions(_sql(TERM), 'term')}, s -> array_contains(words, lower(s.value)))").alias("terms")), "term-spans")
@@ -145,9 +161,9 @@ def personal_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``n_phone``, ``base`` and ``spans`` (all spans) as ``kind:begin:end`` by kind, then begin,
     joined by commas."""
     found = find_spans(df, id_col, text_col)
-    chosen, holds = disclosing_terms(df, found, text_col, **thresholds)
-    terms = term_spans(df, text_col, chosen, holds)
-    rows = found.drop("around").join(terms, "text_key", "left")
+    _, holds = disclosing_terms(df, found, text_col, **thresholds)
+    terms = term_spans(df, text_col, holds)
+    rows = found.drop("entities").join(terms, "text_key", "left")
     counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) AS long)").alias(f"n_{k}") for k in KINDS]
     everything = F.expr(_joined(f"if(terms IS NULL, spans, concat(spans, {_APART}))"))
     return rows.select("id", *counts, F.expr(_joined("spans")).alias("base"), everything.alias("spans"))
@@ -157,8 +173,8 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **th
     """``df`` with each span of its texts replaced by its kind, as ``[EMAIL]`` or ``[TERM]``; spans that
     overlap are replaced as one. All other columns stay as they are, and null texts null."""
     found = find_spans(df, id_col, text_col)
-    chosen, holds = disclosing_terms(df, found, text_col, **thresholds)
-    terms = term_spans(df, text_col, chosen, holds)
+    _, holds = disclosing_terms(df, found, text_col, **thresholds)
+    terms = term_spans(df, text_col, holds)
     names = df.columns
     rows = df.toDF(*[f"in_{i}" for i in range(len(names))])
     text = f"in_{names.index(text_col)}"

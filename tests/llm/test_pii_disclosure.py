@@ -131,3 +131,20 @@ def test_odd_rows(odd_documents, no_documents):
     assert clean.exceptAll(odd_documents).count() == 0 and clean.count() == 12
     assert P.personal_spans(no_documents).count() == 0 and P.sanitise(no_documents).count() == 0
     assert clean.where(F.col("text").isNull()).count() == 2
+
+
+def test_disclosure_in_whole_documents(spark):
+    """Terms far from the entity count, and short ones; common short words are left out."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(6))
+    far = lambda: " ".join(f"{word()} of" for _ in range(40))
+    phone = "+49 30 12345678"
+    docs = [(i, f"{far()} the end") for i in range(80)]
+    docs += [(100 + i, f"Zorblatt {far() if i < 7 else ''} call {phone}") for i in range(10)]  # in 7 of 10 far apart
+    docs += [(200 + i, f"By Kim {far()}\nfooter " + "x" * 90 + " kim99@corp.example.org") for i in range(4)]  # header and footer
+    docs += [(300, "Later zorblatt and Kim met"), (301, "the end of it")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in P.sanitise(df).collect()}
+    assert clean[300] == "Later [TERM] and [TERM] met"
+    assert clean[301] == "the end of it" and all(clean[i] == t for i, t in docs if i < 100)
+    assert clean[100].startswith("[TERM] ") and clean[200].startswith("[TERM] [TERM] ")
