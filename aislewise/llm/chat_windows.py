@@ -2,8 +2,9 @@
 
 The turns of a conversation, in order, are cut into windows of at most ``budget`` tokens by prefix
 sums of the turns' tokens. A window holds the conversation's system turn, up to ``history`` turns of
-the window before (as many as fit in half the budget), and new turns. Spans are aligned to turns: a
-single turn that alone exceeds the budget is a window of its own, marked ``over_budget``. Loss is on
+the window before (as many as fit in half the budget beside the system turn), and new turns. Spans are
+aligned to turns: a turn that does not fit in the budget beside the system turn stands alone with it in
+a window marked ``over_budget``. Loss is on
 the text of new assistant turns; repeated turns are masked, so each assistant text counts once.
 
 Template: a turn is ``### <role>: <text></turn>`` and a line end. Control strings inside roles and
@@ -14,7 +15,8 @@ Rows are dealt by conversation and streamed in order of turn: a task holds one w
 never a whole conversation, however many rows one has. Defined cases: a null text or role is empty;
 equal turns are ordered by role, then text, and repeated rows are turns of their own; a null turn
 comes first; rows with a null conversation id form one conversation; a system turn is repeated only
-if it is the first turn; empty input gives no rows; extra columns are ignored.
+if it is the first turn and takes less than the budget; empty input gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -89,7 +91,7 @@ def windows_of(turns: Iterator[tuple[str, str, int]], budget: int, history: int)
 
     first = True
     for turn in turns:
-        if first and turn[0] == "system" and _cost(turn) <= budget // 4:
+        if first and turn[0] == "system" and _cost(turn) < budget:
             system, fresh = [turn], True
         else:
             waiting.append(turn)
@@ -106,8 +108,8 @@ def format_windows(df: DataFrame, make_counter: Callable[[], Callable[[list[str]
     that earlier windows hold too), ``loss`` (pairs of begin and end in code points of ``text``) and
     ``over_budget``. ``make_counter`` makes a function from texts to numbers of tokens.
 
-    A system turn at the head is repeated in every window if it takes at most a quarter of the budget,
-    and is a turn like any other else."""
+    A system turn at the head is repeated in every window if it takes less than the budget; one that
+    fills the budget by itself is a turn like any other."""
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, window long, text string, n_tokens long, n_repeated long, loss array<struct<begin:long,end:long>>, over_budget boolean"
     arrow = arrow_schema(df.sparkSession, schema)

@@ -72,6 +72,20 @@ def test_odd_rows(spark):
     assert W.read_back(W.format_windows(df.limit(0), words)).count() == 0
 
 
+@pytest.mark.parametrize("size", [10, 25, 60, 99])
+def test_long_system_turn_in_every_window(spark, size):
+    system = " ".join(["s"] * size)
+    rows = [(1, 0, "system", system)] + [(1, 1 + i, ["user", "assistant"][i % 2], " ".join(["w"] * (1 + i % 30))) for i in range(60)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    windows = W.format_windows(df, words, 100).collect()
+    assert len(windows) > 5
+    for r in windows:
+        turns = [(a, W.unescape(b)) for a, b in W._TURN.findall(r["text"])]
+        assert turns[0] == ("system", system) and sum(a == "system" for a, _ in turns) == 1
+        assert r["n_tokens"] <= 100 or (r["over_budget"] and len(turns) == 2)
+        assert r["n_repeated"] == 0 or r["window"] > 0
+
+
 def test_query(spark):
     from aislewise.llm.registry import QUERIES
 
