@@ -19,9 +19,10 @@
 Copies are never paired: they share a class. Nothing of the documents goes to the driver but counts.
 
 Defined cases: null or empty texts have an empty set, are linked with nothing and are their own
-component; a null id names no component and is not kept (rows whose copies all have null ids link
-only as copies); repeated rows are copies: they share a component, and a repeated id is kept in each of its rows if it
-names the component; empty input gives no rows; extra columns are ignored.
+component; rows with null ids link like all others, but a null id names no component and is not
+``kept``; repeated rows are copies: they share a component, and a repeated id is ``kept`` in each of its
+rows if it names the component; empty input gives no rows; extra columns are ignored. ``keep_one``
+decides by id and text, and keeps one row of each component whatever its ids.
 """
 
 from __future__ import annotations
@@ -32,11 +33,11 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from aislewise.llm.common import arrow_schema, columns_of, maybe_in, without_ids, written
+from aislewise.llm.common import arrow_schema, columns_of, maybe_in, written
 from aislewise.llm.components import connected_components
 from aislewise.llm.shingles import U64, shingle_sets
 
@@ -62,9 +63,14 @@ def _fingerprint(shingles: np.ndarray) -> bytes:
     return hashlib.sha256(shingles.tobytes()).digest()[:16]
 
 
+def _row_key(id_col: str, text_col: str) -> Column:
+    """A digest of id and text: rows that share it are repeated rows."""
+    return F.expr(f"unhex(md5(concat(md5(coalesce(`{text_col}`, '')), if(`{id_col}` IS NULL, '', concat('=', cast(`{id_col}` AS string))))))")
+
+
 def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, n_hashes: int) -> DataFrame:
-    """``id``, ``n_shingles``, ``fp`` (null for an empty set) and ``sig`` of each row."""
-    schema = f"id {df.schema[id_col].dataType.simpleString()}, n_shingles long, fp binary, sig binary"
+    """``id``, ``row_key``, ``n_shingles``, ``fp`` (null for an empty set) and ``sig`` of each row."""
+    schema = f"id {df.schema[id_col].dataType.simpleString()}, row_key binary, n_shingles long, fp binary, sig binary"
     arrow = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,18 +79,19 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, n_hashes:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 sets = shingle_sets([t or "" for t in part.column(1).to_pylist()], shingle)
-                yield pa.RecordBatch.from_pydict({"id": part.column(0).to_pylist(), "n_shingles": [len(s) for s in sets], "fp": [_fingerprint(s) if len(s) else None for s in sets], "sig": [signature(s, a, b) if len(s) else None for s in sets]}, schema=arrow)
+                yield pa.RecordBatch.from_pydict({"id": part.column(0).to_pylist(), "row_key": part.column(2).to_pylist(), "n_shingles": [len(s) for s in sets], "fp": [_fingerprint(s) if len(s) else None for s in sets], "sig": [signature(s, a, b) if len(s) else None for s in sets]}, schema=arrow)
 
-    return columns_of(df, id_col, text_col).mapInArrow(run, schema)
+    return columns_of(df, id_col, text_col).withColumn("row_key", _row_key("id", "c0")).mapInArrow(run, schema)
 
 
 def candidate_sets(df: DataFrame, id_col: str, text_col: str, shingle: int, wanted: DataFrame) -> DataFrame:
     """``fp`` and ``items`` (the shingle hashes) of the classes in ``wanted`` (``fp``, ``rep``: an id
-    that has it). Texts are read again, and only those whose id passes a bit map of the wanted ids
-    are hashed; so no text is shuffled."""
+    that has it, or null). Texts are read again, and only those whose id is null or passes a bit map of
+    the wanted ids are hashed; so no text is shuffled. Of classes without an id the sets are found by
+    their fingerprints, one of each task."""
     kind = df.schema[id_col].dataType.simpleString()
     arrow = arrow_schema(df.sparkSession, f"id {kind}, fp binary, items binary")
-    texts = maybe_in(columns_of(df, id_col, text_col), "id", wanted.select("rep")).where("maybe").select("id", "c0")
+    texts = maybe_in(columns_of(df, id_col, text_col), "id", wanted.select("rep")).where("maybe OR id IS NULL").select("id", "c0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +102,9 @@ def candidate_sets(df: DataFrame, id_col: str, text_col: str, shingle: int, want
 
     made = texts.mapInArrow(run, f"id {kind}, fp binary, items binary")
     exact = made.join(wanted.withColumnRenamed("fp", "w_fp"), (made["fp"] == F.col("w_fp")) & (made["id"] == F.col("rep"))).select("fp", "items")
-    return exact.dropDuplicates(["fp"])  # a repeated row
+    nameless = wanted.where("rep IS NULL").select("fp")
+    loose = maybe_in(made.where("id IS NULL"), "fp", nameless).where("maybe").groupBy("fp").agg(F.first("items").alias("items"))
+    return exact.dropDuplicates(["fp"]).unionByName(loose.join(nameless, "fp", "left_semi"))  # of repeated rows one
 
 
 def _agreeing(pairs: DataFrame, sigs: DataFrame, least: float, n_hashes: int) -> DataFrame:
@@ -188,10 +197,9 @@ def _links_by_pivots(members: DataFrame, sigs: DataFrame, sets: DataFrame, perce
         pivots_of *= 4
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, shingle: int = 5, bands: int = 32, rows: int = 4, group_rows: int = 5000, group_items: int = 8_000_000) -> DataFrame:
-    """One row per input row: ``id``, ``n_shingles``, ``component_id`` (the least id of all rows that
-    links lead to) and ``kept`` (it is the row's own id). Rows link if their shingle sets' similarity
-    is ``percent`` or more of 100."""
+def _classes(df: DataFrame, id_col: str, text_col: str, percent: int, shingle: int = 5, bands: int = 32, rows: int = 4, group_rows: int = 5000, group_items: int = 8_000_000) -> tuple[DataFrame, DataFrame]:
+    """The rows' sketches, and ``fp``, ``component`` and ``component_id`` of all classes that are not a
+    component of one row by themselves."""
     n_hashes = bands * rows
     base = written(sketches(df, id_col, text_col, shingle, n_hashes), "sketches")
     full = base.where("fp IS NOT NULL")
@@ -204,7 +212,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
     groups = written(groups.withColumnRenamed("node", "fp").join(classes, "fp").select("component", "fp", "rep", "n", "sig"), "groups")
     sizes = groups.groupBy("component").agg((F.count("*") > group_rows).alias("long"), (F.sum("n") > group_items).alias("wide")).where("long OR wide").select("component")
-    sets = written(candidate_sets(df, id_col, text_col, shingle, groups.where("rep IS NOT NULL").select("fp", "rep")), "sets")
+    sets = written(candidate_sets(df, id_col, text_col, shingle, groups.select("fp", "rep")), "sets")
 
     large = written(groups.join(sizes, "component", "left_semi"), "large-groups")
     small = groups.join(large.select("component").distinct(), "component", "left_anti").join(sets, "fp")
@@ -215,17 +223,36 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         edges = edges if more is None else edges.unionByName(more)
     labels = connected_components(edges)
 
-    # Classes that are not a component of one row by themselves.
     known = classes.select("fp", "rep", "copies").join(labels.withColumnRenamed("node", "fp"), "fp", "left")
     known = known.withColumn("component", F.coalesce("component", "fp"))
     least = known.groupBy("component").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("size")).where("size > 1")
-    moved = known.join(least, "component").select("fp", "component_id")
-    out = base.join(moved, "fp", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    return base, known.join(least, "component").select("fp", "component", "component_id")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, **settings) -> DataFrame:
+    """One row per input row: ``id``, ``n_shingles``, ``component_id`` (the least id of all rows that
+    links lead to) and ``kept`` (it is the row's own id). Rows link if their shingle sets' similarity
+    is ``percent`` or more of 100. ``settings`` are those of ``_classes``."""
+    base, moved = _classes(df, id_col, text_col, percent, **settings)
+    out = base.join(moved.drop("component"), "fp", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select("id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, **settings) -> DataFrame:
-    """The rows of ``df`` without those whose id does not name their component; all columns. Rows with
-    a null id stay, and so do all rows of an id that is repeated."""
-    found = near_duplicates(df, id_col, text_col, percent, **settings)
-    return without_ids(df, id_col, written(found.where("NOT kept AND id IS NOT NULL").select("id"), "dropped"))
+    """One row of each component, that of the least id (null ids come last), and all rows with an empty
+    set; all columns. Rows are told apart by id and text; of repeated rows any one stays. Only rows
+    that a bit map of the keys finds are shuffled."""
+    base, moved = _classes(df, id_col, text_col, percent, **settings)
+    rows = written(base.join(moved.select("fp", "component"), "fp").groupBy("component", "row_key").agg(F.min("id").alias("id"), F.count("*").alias("n")), "rows")
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row_key")).alias("best")).select(F.col("best.row_key").alias("row_key"), F.lit(True).alias("stays"))
+    marks = rows.join(best, "row_key", "left").where("stays IS NULL OR n > 1")
+    marks = written(marks.select(F.col("row_key").alias("mark_key"), F.coalesce("stays", F.lit(False)).alias("stays")), "dropped")
+    names = df.columns
+    inner = [f"in_{i}" for i in range(len(names))]
+    renamed = df.toDF(*inner)
+    renamed = renamed.withColumn("row_key", _row_key(inner[names.index(id_col)], inner[names.index(text_col)]))
+    found = maybe_in(renamed, "row_key", marks.select("mark_key"))
+    risky = found.where("maybe").join(marks, F.col("row_key") == F.col("mark_key"), "left")
+    repeated = risky.where("stays").groupBy("row_key").agg(F.first(F.struct(*inner)).alias("row")).select("row.*")
+    parts = found.where("NOT maybe").select(*inner).unionByName(risky.where("stays IS NULL").select(*inner))
+    return parts.unionByName(repeated).toDF(*names)

@@ -96,3 +96,28 @@ def test_odd_rows(odd_documents, no_documents):
     assert all(r[3] is False for r in rows if r[0] is None)
     assert M.near_duplicates(no_documents).count() == 0
     assert sorted(r["doc_id"] or 0 for r in M.keep_one(odd_documents).collect()) == [0, 0, 1, 2, 3, 4, 5, 7, 9]
+
+
+def test_keep_one_row_of_each_component(spark):
+    """Repeated rows, null ids and an id that stands on two texts."""
+    text = lambda a, n=40: " ".join(f"{a}{i}" for i in range(n))
+    rows = [(1, text("a")), (1, text("a")), (1, text("a"))]  # repeated rows
+    rows += [(None, text("b")), (None, text("b")), (None, text("b") + " end")]  # only null ids, one a near copy
+    rows += [(3, text("c")), (5, text("c") + " end"), (5, text("d"))]  # 5 is a near copy and a unique text
+    rows += [(None, text("e")), (9, text("e") + " end"), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = [(1, text("a")), (3, text("c")), (5, text("d")), (9, text("e") + " end"), (None, None), (None, "")]
+    got = [tuple(r) for r in M.keep_one(df).collect()]
+    assert sorted(str(r) for r in got if not (r[1] or "").startswith("b0")) == sorted(map(str, want))
+    assert sum((t or "").startswith("b0") for _, t in got) == 1
+    for settings in ({"group_rows": 0}, {}):
+        found = M.near_duplicates(df.where("text LIKE 'b0%' OR text LIKE 'e0%'"), **settings)
+        assert sorted(r["component_id"] or 0 for r in found.collect()) == [0, 0, 0, 9, 9]
+
+
+def test_chain_through_null_ids(spark):
+    """1 and 2 link only through a text without an id."""
+    w = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(w)), (None, " ".join(w + [f"x{i}" for i in range(24)])), (2, " ".join(w + [f"x{i}" for i in range(52)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["doc_id"] for r in M.keep_one(df, percent=85).collect()] == [1]
