@@ -50,3 +50,26 @@ def test_odd_rows(spark, odd_documents, no_documents):
     none = X.predict_toxicity(odd_documents, labels.limit(0)).collect()
     assert {(r["score"], r["predicted"]) for r in none} == {(0.0, 0)}
     assert X.predict_toxicity(no_documents, labels).count() == 0
+
+
+def test_long_documents_are_learned(spark):
+    """One label stands on documents of more than ``max_chars`` only."""
+    rows = [(i, t if y else ". ".join([t] * 40), y) for i, t, y in planted(300, 3)]
+    assert any(len(t) > 8000 for _, t, y in rows if not y)
+    rows = [(i, t, y) for i, t, y in rows if y or len(t) > 8000]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r["id"]: r["predicted"] for r in X.predict_toxicity(docs, labels).collect()}
+    assert np.mean([got[i] == y for i, _, y in rows]) > 0.95
+
+
+def test_spread_and_limit():
+    text = ". ".join(f"s{i} word" for i in range(5000))
+    part, times = X.spread(text, 1000)
+    taken = X.sentences(part)
+    assert len(part) <= 2100 and np.isclose(times * len(taken), 5000)
+    places = [int(part[b:e].split()[0][1:]) for b, e in taken]
+    assert places[0] < 100 and places[-1] > 4900 and places == sorted(places)
+    assert X.spread(text, len(text)) == (text, 1.0)
+    assert len(X.spread(" ".join("abcdefgh"[i % 8] * (1 + i % 99) for i in range(9000)), 500)[0]) <= 1100
+    assert X._limit([5, 10, 100], 1000) == 100 and X._limit([5, 10, 100], 35) == 20
