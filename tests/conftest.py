@@ -3,13 +3,11 @@ import sys
 import tempfile
 
 import pytest
+from sf_dirs import SF_CHECK
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-SF_SMALL = "/root/testdata/sf0.001"
-SF_CHECK = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def event_folder():

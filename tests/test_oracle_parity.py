@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from aislewise.plans.registry import QUERIES
-from conftest import SF_CHECK, SF_SMALL
+from sf_dirs import SF_CHECK, SF_SMALL
 from tools.oracle_check import duck, rows_of
 
 NAMES = sorted(QUERIES)

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from aislewise.plans.registry import QUERIES
-from conftest import SF_CHECK
+from sf_dirs import SF_CHECK
 from tools.executed_plans import ExecutedPlans, exchanges, scans
 
 

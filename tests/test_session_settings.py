@@ -4,7 +4,7 @@ may set either): timestamps are timestamp_ntz and every calendar helper is zone-
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_CHECK
+from sf_dirs import SF_CHECK
 from tools.oracle_check import duck, rows_of
 
 NAMES = ["traffic_heatmap", "classify_entities", "capture_rate", "staffing_gap", "weekly_visitors", "missed_deliveries"]

@@ -5,7 +5,7 @@ import pytest
 from aislewise.plans.oracle_views import with_views
 from aislewise.sources import schemas
 from aislewise.sources.tables import derive_from_driver_tables, validate
-from conftest import SF_SMALL
+from sf_dirs import SF_SMALL
 from tools.oracle_check import duck, rows_of
 
 
