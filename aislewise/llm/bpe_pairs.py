@@ -60,10 +60,12 @@ class PairIndexBPE:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        # Only its normalizer and pre-tokenizer are called: without the vocabulary it takes no memory.
+        bare = {"vocab": {}, "merges": []}
+        self.library = Tokenizer.from_str(json.dumps(spec | {"model": model | bare, "added_tokens": []}))
         if model["type"] != "BPE" or model.get("byte_fallback") or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("ignore_merges"):
             raise ValueError("only plain BPE models without byte fallback, dropout, prefixes and ignore_merges")
         if spec.get("decoder") is not None or spec.get("post_processor") is not None:
@@ -220,16 +222,17 @@ class PairIndexBPE:
         return " ".join([self.token[int(i)] for i in ids if int(i) in self.token])
 
 
-def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] = ("n_tokens", "ids", "decoded"), block_chars: int = 6_000_000) -> DataFrame:
+def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] = ("n_tokens", "ids", "decoded"), block_chars: int = 1_500_000, known_pieces: int = 100_000) -> DataFrame:
     """One row per input row: ``id`` and the wanted ``columns`` of ``n_tokens``, ``ids``, ``decoded``,
     ``ids_sha256`` and ``decoded_sha256``. Narrow: no shuffle. A task holds a block of about
-    ``block_chars`` bytes of texts (at least one text) and its distinct words at a time."""
+    ``block_chars`` bytes of texts (at least one text) at a time, the distinct pieces of that block, and
+    up to ``known_pieces`` pieces of the blocks before, so that common pieces are encoded once."""
     kinds = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
     schema = f"id {df.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{c} {kinds[c]}" for c in columns)
     arrow = arrow_schema(df.sparkSession, schema)
 
     def run(batches):
-        bpe = PairIndexBPE(path)
+        bpe, known = PairIndexBPE(path), {}
         held, chars = [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -237,18 +240,25 @@ def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 held.append(part)
                 chars += pc.sum(pc.binary_length(part.column(1))).as_py() or 0
                 if chars >= block_chars:
-                    yield from block(bpe, held)
+                    yield from block(bpe, known, held)
                     held, chars = [], 0
+            held = [pa.RecordBatch.from_pydict(b.to_pydict(), schema=b.schema) for b in held]  # not slices that keep the batch
         if held:
-            yield from block(bpe, held)
+            yield from block(bpe, known, held)
 
-    def block(bpe, held):
+    def block(bpe, known, held):
         rows = pa.Table.from_batches(held)
         texts = pc.fill_null(rows.column(1).combine_chunks(), "")
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        raw, read = bpe.encode_pieces(coded.dictionary.to_pylist())
         at, numbers = split.offsets.to_pylist(), coded.indices.to_numpy()
+        pieces = coded.dictionary.to_pylist()
+        del texts, split, coded
+        new = [p for p in pieces if p not in known]
+        known.update(zip(new, zip(*bpe.encode_pieces(new), strict=True), strict=True))
+        raw, read = [known[p][0] for p in pieces], [known[p][1] for p in pieces]
+        if len(known) > known_pieces:
+            known.clear()
         first, keys = at[0], rows.column(0).to_pylist()
         for i in range(0, len(keys), 256):  # the result goes out in slices
             yield slice_of(keys[i : i + 256], at[i : i + 257], first, numbers, raw, read)
@@ -262,12 +272,16 @@ def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 if c == "n_tokens":
                     out[c].append(len(data) // 4)
                 elif c == "ids":
-                    out[c].append(np.frombuffer(data, "<u4").astype(np.int32))
+                    out[c].append(data)
                 elif c == "ids_sha256":
                     out[c].append(hashlib.sha256(data).hexdigest())
                 else:
                     text = " ".join([read[i] for i in doc if read[i]])
                     out[c].append(text if c == "decoded" else hashlib.sha256(text.encode()).hexdigest())
-        return pa.RecordBatch.from_pydict(out, schema=arrow)
+        if "ids" in out:  # one array of numbers and the places where each row's end
+            ends = np.cumsum([0, *[len(d) // 4 for d in out["ids"]]], dtype=np.int32)
+            flat = pa.array(np.frombuffer(b"".join(out["ids"]), "<u4").astype(np.int32))
+            out["ids"] = pa.ListArray.from_arrays(pa.array(ends), flat)
+        return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if f.name != "ids" else out["ids"].cast(f.type) for f in arrow], schema=arrow)
 
     return columns_of(df, id_col, text_col).mapInArrow(run, schema)
