@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aislewise.llm import bpe_pairs, byte_cnn, chat_windows, edit_decontam, minhash_dups, pii_disclosure, quality_rules, suffix_dups, token_counts, toxic_mil
+from aislewise.llm import bpe_pairs, byte_cnn, chat_windows, edit_decontam, merkle, minhash_dups, pii_disclosure, quality_rules, suffix_dups, token_counts, toxic_mil, turn_repair, warc
 from aislewise.llm.common import default_tokenizer, table
 from aislewise.llm.oracles import ORACLES  # noqa: F401
 
@@ -67,6 +67,32 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.read_back(windows).drop("n_windows").withColumnRenamed("id", "conv_id")
 
 
+def op11_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    out = warc.round_trip(pages)
+    return out.selectExpr(f"cast(key AS {kind}) AS page_id", "payload_bytes", "payload_digest", "record_type", f"cast(refers_to AS {kind}) AS refers_to")
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    rows = turn_repair.damaged(turns)
+    audits = turn_repair.audit_conversations(rows, ids=turns.select("conv_id"))
+    found = turn_repair.digests(turn_repair.repaired_turns(rows, audits)).withColumnRenamed("id", "other")
+    out = audits.join(found, audits["id"].eqNullSafe(found["other"]), "left").drop("other")
+    return out.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))).withColumnRenamed("id", "conv_id")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    cut = merkle.leaf([F.replace(docs[c], F.lit("\n"), F.lit("")) if c == "text" else docs[c] for c in fields])
+    chosen = F.crc32(docs["doc_id"].cast("string").cast("binary")) % 2 == 0
+    out = merkle.manifest(docs, fields, changed=F.when(chosen, cut).otherwise(merkle.leaf([docs[c] for c in fields])))
+    out = out.withColumn("folded_root", merkle.folded())
+    return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.proof_text(), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_edit_decontamination": op1_edit_decontamination,
     "op2_suffix_lpf_dedup": op2_suffix_lpf_dedup,
@@ -78,4 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_cascade": op8_quality_cascade,
     "op9_toxicity_mil": op9_toxicity_mil,
     "op10_chat_windows": op10_chat_windows,
+    "op11_warc_archives": op11_warc_archives,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }

@@ -1,0 +1,85 @@
+from hashlib import sha256
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from aislewise.llm import merkle
+from aislewise.llm.oracles import ORACLES
+from aislewise.llm.registry import op13_merkle_manifest
+
+
+def H(*parts):
+    return sha256("".join(parts).encode()).hexdigest()
+
+
+def tree(nodes):
+    """All levels of a tree over ``nodes``."""
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        levels.append([H(*levels[-1][i : i + 3]) for i in range(0, len(levels[-1]), 3)])
+    return levels
+
+
+def climb(levels, place):
+    """The digests to the left and right of a node, level by level."""
+    out = []
+    for level in levels[:-1]:
+        begin = place // 3 * 3
+        out.append(("".join(level[begin:place]), "".join(level[place + 1 : begin + 3])))
+        place //= 3
+    return out
+
+
+def brute(rows):
+    """``(id, leaf, subroot, root, path)`` of ``(id, source, leaf)``, by plain Python."""
+    sources = {}
+    for r in sorted(rows, key=lambda r: (r[1] is not None, (r[1] or "").encode(), r[0] is not None, r[0] or 0, r[2])):
+        sources.setdefault(r[1], []).append(r)
+    trees = {s: tree([r[2] for r in held]) for s, held in sources.items()}
+    over = tree([t[-1][0] for t in trees.values()])
+    out = []
+    for i, (s, held) in enumerate(sources.items()):
+        up = climb(over, i)
+        out += [(r[0], r[2], trees[s][-1][0], over[-1][0], climb(trees[s], j) + up) for j, r in enumerate(held)]
+    return sorted(map(str, out))
+
+
+@pytest.mark.parametrize("digits", [1, 2, 6])
+def test_against_plain_trees(spark, digits):
+    """Sources of 1, 2, 3, 4, 9, 10, 28 and 300 leaves, a null one, a null id, repeated rows."""
+    rows = [(i, f"s{n}", f"text {i} of {n}") for n in (1, 2, 3, 4, 9, 10, 28, 300) for i in range(n)]
+    rows += [(5, None, "no source"), (None, "é", "no id"), (None, "é", None), (3, "", "empty name"), (3, "", "empty name"), (3, "", ""), (4, "long", "x" * 2_000_000)]
+    clash = "grp rank n h at part block kids path top root seen d0 tie size".split()
+    df = spark.createDataFrame([(*r, *["c"] * len(clash)) for r in rows], "doc_id long, source string, text string, " + ", ".join(f"`{c}` string" for c in clash))
+    fields = lambda r: "".join("-" if x is None else f"{len(str(x).encode())}:{x}" for x in r)
+    got = merkle.manifest(df, ["doc_id", "source", "text"], digits=digits).withColumn("folded", merkle.folded()).collect()
+    assert sorted(str((r["id"], r["leaf"], r["subroot"], r["root"], [(p["l"], p["r"]) for p in r["path"]])) for r in got) == brute([(r[0], r[1], H(fields(r))) for r in rows])
+    assert all(r["folded"] == r["root"] for r in got)
+
+
+def test_many_sources(spark):
+    """As many sources as rows, more than one block of them, and one hot source."""
+    df = spark.range(900).selectExpr("id AS doc_id", "if(id % 3 = 0, 'hot', concat('s', id)) AS source", "concat('t', id) AS text")
+    made = [(r["doc_id"], r["source"], r["leaf"]) for r in df.withColumn("leaf", merkle.leaf([F.col("text")])).collect()]
+    got = merkle.manifest(df, ["text"], digits=3).collect()
+    assert sorted(str((r["id"], r["leaf"], r["subroot"], r["root"], [(p["l"], p["r"]) for p in r["path"]])) for r in got) == brute(made)
+
+
+def test_query_against_sql(spark, tmp_path):
+    rows = [(i, ["a", "b", None, "ü"][i % 4] if i % 5 else "a", "en" if i % 2 else None, i if i % 3 else None, [f"line\nof {i}", "plain", None, "", "\n"][i % 5]) for i in range(400)]
+    rows += [(7, "a", "en", 7, "again"), (7, "a", "en", 7, "again"), (None, "b", None, None, "x\ny")]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = op13_merkle_manifest(spark, str(tmp_path))
+    rel = con.execute(ORACLES["op13_merkle_manifest"])
+    names = [c[0] for c in rel.description]
+    want = sorted(map(str, rel.fetchall()))
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(map(str, (tuple(r[c] for c in names) for r in got.collect()))) == want
+    assert {r.split(", ")[-1] for r in want} == {"True)", "False)"}
+
+
+def test_empty(spark, no_documents):
+    assert merkle.manifest(no_documents, ["doc_id", "text"], source_col="lang").collect() == []
