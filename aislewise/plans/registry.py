@@ -14,7 +14,7 @@ from aislewise.operators import entities, footfall, market, operations, regressi
 from aislewise.session import scratch_path
 from aislewise.sources import marts
 from aislewise.sources.tables import RetailTables, derive_from_driver_tables
-from aislewise.streaming import live
+from aislewise.streaming import complete, live
 
 # The city the market queries look at. The original studies one town; on the test tables the
 # cities are nation names, and this one has branches at every scale.
@@ -78,6 +78,7 @@ QUERIES: dict[str, Query] = {name: _on_driver_tables(op) for name, op in OPS.ite
 STREAMING: dict[str, Query] = {
     "stream_sessions": lambda spark, sf_dir: live.sessions_from_stream(spark, sf_dir),
     "stream_hourly_visitors": lambda spark, sf_dir: live.hourly_visitors_from_stream(spark, sf_dir),
+    "stream_complete_sessions": lambda spark, sf_dir: complete.complete_sessions_from_stream(spark, sf_dir),
 }
 QUERIES.update(STREAMING)
 

@@ -1,0 +1,72 @@
+"""The stream that gives every session: order, late rows, restarts, open sessions."""
+
+import datetime as dt
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from aislewise.operators.sessions import session_summary
+from aislewise.streaming.complete import SessionRun, cut_sessions, merge_sessions
+
+BASE = dt.datetime(2024, 3, 1)
+SCHEMA = "device_id string, timestamp timestamp_ntz"
+
+
+def test_merging_in_any_order():
+    rng = random.Random(1)
+    for _ in range(200):
+        times = sorted(rng.randrange(1000) for _ in range(rng.randrange(1, 40)))
+        whole = cut_sessions(np.array(times), 17)
+        mixed, parts = rng.sample(times, len(times)), []
+        for i in range(0, len(mixed), 5):
+            parts = merge_sessions(parts + cut_sessions(np.array(sorted(mixed[i : i + 5])), 17), 17)
+        assert parts == whole and sum(n for _, _, n in whole) == len(times)
+    assert cut_sessions(np.array([], np.int64), 5) == [] and cut_sessions(np.array([0, 5]), 5) == [(0, 0, 1), (5, 5, 1)]
+
+
+def pings(seed, n, first, last):
+    """Random pings of some devices between two hours, a null device and equal times included."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        at = BASE + dt.timedelta(hours=first + rng.random() * (last - first))
+        out += [(rng.choice(["a", "b", "c", "d", None]), at)] * rng.choice([1, 1, 1, 2])
+    return out
+
+
+@pytest.mark.parametrize("gap", [60, 5])
+def test_batches_restarts_and_late_rows(spark, tmp_path, gap):
+    """Each part arrives in a run of its own from the same checkpoint; rows behind the watermark are counted."""
+    parts = [pings(1, 40, 0, 10), pings(2, 60, 7, 16), pings(3, 30, 0, 30) + [("e", BASE), ("a", BASE + dt.timedelta(hours=30))], [("f", BASE + dt.timedelta(hours=40, microseconds=1))]]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    seen, late, newest = [], {}, None
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run = SessionRun(spark, str(tmp_path / "run"), gap).run(stream)  # a new object: all state is in the folder
+        mark = None if newest is None else newest - dt.timedelta(hours=2)
+        mark = mark and mark.replace(microsecond=mark.microsecond // 1000 * 1000)  # watermarks are in milliseconds
+        for key, at in part:
+            if mark is not None and at < mark:
+                late[key] = late.get(key, 0) + 1
+            else:
+                seen.append((key, at))
+        newest = max([at for _, at in part] + ([newest] if newest else []))
+        want = session_summary(spark.createDataFrame(seen, SCHEMA), ["device_id"], "timestamp", gap)
+        got = run.sessions()
+        rows = got.select("device_id", F.col("session_begin").cast("timestamp_ntz").alias("session_begin"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n_rows")
+        assert rows.exceptAll(want).count() == 0 and want.exceptAll(rows).count() == 0, i
+        assert {r["device_id"]: r["n_late"] for r in run.late_rows().collect()} == late
+        now = newest - dt.timedelta(hours=2, minutes=gap + 1)
+        assert all(r["closed"] == (r["session_end"] <= now) for r in got.collect())
+    assert late and "e" in late
+    again = SessionRun(spark, str(tmp_path / "run"), gap).run(stream)  # nothing new: nothing changes
+    assert again.sessions().count() == want.count()
+
+
+def test_nothing_arrived(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    run = SessionRun(spark, str(tmp_path / "run")).run(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")))
+    assert run.sessions().count() == 0 and run.late_rows().count() == 0
