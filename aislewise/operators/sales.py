@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aislewise.functions.numeric import MONEY, money_avg, money_sum, ratio, round_half_up, share_pct
-from aislewise.functions.quantiles import percentiles, value_counts
+from aislewise.functions.quantiles import counted_percentiles, one_row, percentiles, value_counts
 from aislewise.functions.timeparts import hour_of_day, weekday_index
 from aislewise.operators.sessions import session_counts
+from aislewise.session import materialize
 from aislewise.sources.schemas import SEGMENTS, TIME_CATEGORIES, WALK_IN
 
 
@@ -58,9 +59,20 @@ def daily_visit_distribution(sales: DataFrame, gap_minutes: int = 60, id_col: st
     ).orderBy("visits_in_one_day")
 
 
+def _fence(q1: float | None, q3: float | None, k: float) -> list[float | None]:
+    """q1, q3, their distance and the fence."""
+    return [None] * 4 if q1 is None or q3 is None else [q1, q3, q3 - q1, q3 + float(k) * (q3 - q1)]
+
+
+_FENCE = ["q1", "q3", "iqr", "upper_fence"]
+
+
 def iqr_fence(sales: DataFrame, k: float = 1.5, exact: bool = True) -> DataFrame:
-    """One row: q1, q3, iqr, upper_fence = q3 + k * (q3 - q1) of ``total``."""
-    q = percentiles(sales, "total", [0.25, 0.75], ["q1", "q3"], exact=exact)
+    """One row: q1, q3, iqr, upper_fence = q3 + k * (q3 - q1) of ``total``. The exact form runs its jobs
+    when it is called."""
+    if exact:
+        return one_row(sales, _fence(*counted_percentiles(materialize(value_counts(sales, "total")), [0.25, 0.75]), k), _FENCE)
+    q = percentiles(sales, "total", [0.25, 0.75], ["q1", "q3"], exact=False)
     return q.select(
         "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"), (F.col("q3") + F.lit(float(k)) * (F.col("q3") - F.col("q1"))).alias("upper_fence")
     )
@@ -70,9 +82,13 @@ def ticket_outliers(sales: DataFrame, k: float = 1.5, exact: bool = True) -> Dat
     """Average ticket with and without the tickets above the IQR fence, and their count.
 
     Everything comes from the table of distinct totals and their numbers, which the percentiles
-    need anyway: the tickets are read and shuffled once, and the rest works on that exchange."""
-    fence = iqr_fence(sales, k, exact).select("upper_fence")
+    need anyway: it is written when the operator is called, and the tickets are read and shuffled once."""
     counts = value_counts(sales, "total")
+    if exact:
+        counts = materialize(counts)
+        fence = one_row(sales, _fence(*counted_percentiles(counts, [0.25, 0.75]), k), _FENCE).select("upper_fence")
+    else:
+        fence = iqr_fence(sales, k, exact).select("upper_fence")
     # decimal(26,9) * decimal(11,0) is decimal(38,9): exact
     amount = F.col("__x").cast("decimal(26,9)") * F.col("__c").cast("decimal(11,0)")
     inside = F.col("__x") <= F.col("upper_fence")

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aislewise.operators import entities, footfall, market, operations, regression, sales
+from aislewise.operators import entities, footfall, market, operations, regression, sales, sketches
 from aislewise.session import scratch_path
 from aislewise.sources import marts
 from aislewise.sources.tables import RetailTables, derive_from_driver_tables
@@ -73,11 +73,19 @@ def _on_driver_tables(op: Callable[[RetailTables], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {name: _on_driver_tables(op) for name, op in OPS.items()}
 
+# Answers from stored sketches, registered beside the exact ones.
+SKETCHES: dict[str, Query] = {
+    "fences_from_sketches": _on_driver_tables(lambda t: sketches.yearly_fence_check(t.sales)),
+    "top_areas_from_sketches": _on_driver_tables(lambda t: sketches.top_areas(sketches.daily_area_sketches(t.geo))),
+}
+QUERIES.update(SKETCHES)
+
 # Structured Streaming runs over the events files (availableNow, append mode). Output is what
 # the stream emits: sessions and hours already closed by the 2-hour watermark.
 STREAMING: dict[str, Query] = {
     "stream_sessions": lambda spark, sf_dir: live.sessions_from_stream(spark, sf_dir),
     "stream_hourly_visitors": lambda spark, sf_dir: live.hourly_visitors_from_stream(spark, sf_dir),
+    "stream_visitor_estimates": lambda spark, sf_dir: live.visitor_estimates_from_stream(spark, sf_dir),
     "stream_complete_sessions": lambda spark, sf_dir: complete.complete_sessions_from_stream(spark, sf_dir),
 }
 QUERIES.update(STREAMING)

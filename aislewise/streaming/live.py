@@ -113,3 +113,15 @@ def hourly_visitors_from_stream(spark: SparkSession, sf_dir: str, watermark: str
 
     stream = stream_hourly_visitors(geolocation_from_events(_event_stream(spark, sf_dir)), None, watermark)
     return _wall_clock(run_available_now(stream, "hourly", spark), "hour_start", "hour_end")
+
+
+def visitor_estimates_from_stream(spark: SparkSession, sf_dir: str, watermark: str = "2 hours") -> DataFrame:
+    """Distinct devices per hour, date and week, estimated from the hourly sketches that a stream over the event
+    files gives out: the hours that the watermark has closed. The pings are read once, and their state
+    is one sketch an open hour."""
+    from aislewise.operators.sketches import hourly_visitor_sketches, visitor_estimates
+    from aislewise.sources.tables import geolocation_from_events
+
+    events = as_event_time(geolocation_from_events(_event_stream(spark, sf_dir))).withWatermark("event_time", watermark)
+    hourly = run_available_now(hourly_visitor_sketches(events, time="event_time"), "sketches", spark)
+    return visitor_estimates(hourly)

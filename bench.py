@@ -4,8 +4,8 @@ Each query is materialised with the ``noop`` sink (full execution, no collect).
 One pass over all queries warms the JVM up; then ``BENCH_REPEAT`` passes are
 timed and the per-query number is the median. Prints one JSON line on stdout.
 
-Streaming queries (availableNow runs over the event files) and the sink that writes every mart are
-timed once each and reported under "streaming" and "sinks"; they are not part of the headline sum.
+Streaming queries (availableNow runs over the event files), answers from sketches or bitmaps and the sink
+that writes every mart are timed once each and reported under "streaming", "sketches" and "sinks"; they are not part of the headline sum.
 Nothing is prepared beforehand: every query derives its tables from the raw files.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
@@ -31,13 +31,13 @@ def main() -> None:
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     wanted = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
 
-    from aislewise.plans.registry import QUERIES, SINKS, STREAMING
+    from aislewise.plans.registry import QUERIES, SINKS, SKETCHES, STREAMING
     from aislewise.session import local_session
 
     spark = local_session(cores=str(cpus), shuffle_partitions=cpus, app="aislewise-bench")
     spark.sparkContext.setLogLevel("ERROR")
 
-    names = wanted or [q for q in QUERIES if q not in STREAMING and q not in SINKS]
+    names = wanted or [q for q in QUERIES if q not in STREAMING and q not in SINKS and q not in SKETCHES]
 
     def run(name: str) -> float:
         t0 = time.perf_counter()
@@ -52,6 +52,7 @@ def main() -> None:
             samples[name].append(run(name))
     timings = {name: round(statistics.median(v), 4) for name, v in samples.items()}
     streaming = {} if wanted else {name: round(run(name), 4) for name in STREAMING}
+    sketches = {} if wanted else {name: round(run(name), 4) for name in SKETCHES}
     sinks = {} if wanted else {name: round(run(name), 4) for name in SINKS}
 
     m = re.search(r"sf([0-9.]+)", sf_dir)
@@ -63,6 +64,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": timings,
                 "streaming": streaming,
+                "sketches": sketches,
                 "sinks": sinks,
                 "sf": float(m.group(1)) if m else sf_dir,
                 "cpus": cpus,

@@ -73,12 +73,41 @@ def test_percentiles_match_brute_force(spark):
     ps = [0.0, 0.01, 0.25, 0.5, 0.75, 0.9, 1.0]
     names = [f"p{i}" for i in range(len(ps))]
     got = percentiles(df, "x", ps, names, pivots=16).first()
+    assert got == percentiles(df, "x", ps, names, pivots=4, max_sorted=3).first()  # in many rounds
     xs = sorted(v for v in vals if v is not None)
     for p, n in zip(ps, names):
         rank = max(1, math.ceil(len(xs) * p))
         assert got[n] == xs[rank - 1], (p, got[n], xs[rank - 1])
 
 
+def test_a_million_distinct_values_in_rounds(spark, monkeypatch):
+    """However many distinct values there are, no task sorts more than ``max_sorted`` of them."""
+    from aislewise.functions import quantiles as Q
+
+    df = spark.range(1_000_000).selectExpr("cast(id * 7919 % 1000003 as double) / 8 AS x").unionByName(spark.range(300_000).selectExpr("-1.5D AS x"))
+    counts = Q.value_counts(df, "x")
+    sizes = []
+    plain = Q._narrowed
+    monkeypatch.setattr(Q, "_narrowed", lambda *a: sizes.append(plain(*a)) or sizes[-1])
+    ps = [0.1, 0.25, 0.5, 0.99]
+    got = Q.counted_percentiles(counts, ps, pivots=32, max_sorted=500)
+    xs = sorted([i * 7919 % 1000003 / 8 for i in range(1_000_000)] + [-1.5] * 300_000)
+    assert got == [xs[math.ceil(len(xs) * p) - 1] for p in ps]
+    last = [a for a, b in zip(sizes, sizes[1:] + [None]) if b is None or b.rank != a.rank]
+    assert len(last) == 4 and all(a.values <= 500 for a in last) and len(sizes) <= 4 * 4
+    sizes.clear()
+    assert Q.counted_percentiles(counts, ps[:1], max_sorted=10**7) == got[:1] and not sizes
+
+
+def test_percentiles_of_odd_values(spark):
+    inf = float("inf")
+    vals = [float("nan"), inf, -inf, 1e300, -1e300, 5e-324, 0.0, -0.0, 0.1, 0.1]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    for limit in (2, 100):
+        got = percentiles(df, "x", [0.1, 0.2, 0.3, 0.4, 0.5, 0.8, 0.9], list("abcdefg"), pivots=3, max_sorted=limit).first()
+        assert tuple(got) == (-inf, -1e300, 0.0, 0.0, 5e-324, 1e300, inf)
+
+
 def test_percentiles_empty_and_approx(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert percentiles(df, "x", [0.5], ["m"]).first()["m"] is None
