@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aislewise.operators import entities, footfall, market, operations, regression, sales, sketches
+from aislewise.operators import entities, footfall, market, operations, presence, regression, sales, sketches
 from aislewise.session import scratch_path
 from aislewise.sources import marts
 from aislewise.sources.tables import RetailTables, derive_from_driver_tables
@@ -76,6 +76,7 @@ QUERIES: dict[str, Query] = {name: _on_driver_tables(op) for name, op in OPS.ite
 # Answers from stored sketches, registered beside the exact ones.
 SKETCHES: dict[str, Query] = {
     "fences_from_sketches": _on_driver_tables(lambda t: sketches.yearly_fence_check(t.sales)),
+    "visitors_from_bitmaps": _on_driver_tables(lambda t: presence.all_answers(t.geo, t.sales)),
     "top_areas_from_sketches": _on_driver_tables(lambda t: sketches.top_areas(sketches.daily_area_sketches(t.geo))),
 }
 QUERIES.update(SKETCHES)
@@ -92,10 +93,10 @@ QUERIES.update(STREAMING)
 
 
 def kpi_marts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write every KPI as a mart and read them back: ``mart`` and its number of rows ``n_rows``."""
-    path = scratch_path(spark, "marts")
-    marts.write_kpi_marts(marts.build_kpis(driver_tables(spark, sf_dir)), path)
-    return marts.mart_sizes(spark, path, list(OPS))
+    """Publish every KPI as a mart, all in one version, and read them back: ``mart`` and its number of rows ``n_rows``."""
+    store = marts.MartStore(spark, scratch_path(spark, "marts"))
+    store.refresh(marts.build_kpis(driver_tables(spark, sf_dir)))
+    return marts.published_sizes(store)
 
 
 SINKS: dict[str, Query] = {"kpi_marts": kpi_marts}
