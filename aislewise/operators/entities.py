@@ -102,6 +102,7 @@ def classify_entities(
     min_tenure_days: int = 60,
     min_visits: int = 10,
     materialize_profiles: bool = True,
+    identified: DataFrame | None = None,
 ) -> DataFrame:
     """Classify every device into a staff or visitor role, plus one ``no_phone`` row per
     anonymous ticket. Rules, first match wins:
@@ -121,7 +122,8 @@ def classify_entities(
     The device profile (one row per device) is read twice, for the rules and for the
     supermarket's first-seen time; with ``materialize_profiles`` a job writes it to the
     checkpoint folder when this function is called, so the pings are aggregated once. The result
-    is then a snapshot of the pings at that time; without it, all of it is lazy.
+    is then a snapshot of the pings at that time; without it, all of it is lazy. ``identified`` may give
+    the tickets with a customer from a table of their own (``sources.bucketed``).
     """
     p = device_profiles(geo)
     if materialize_profiles:
@@ -130,7 +132,7 @@ def classify_entities(
         F.min("first_seen").alias("__sup_first"),
         F.count_if(F.col("first_seen").isNull()).alias("__sup_null"),
     )
-    paying = sales.where(F.col("customer_id").isNotNull()).select(F.col("customer_id").alias("device_id")).distinct().withColumn(
+    paying = (sales if identified is None else identified).where(F.col("customer_id").isNotNull()).select(F.col("customer_id").alias("device_id")).distinct().withColumn(
         "__pays", F.lit(True)
     )
     u = p.crossJoin(F.broadcast(supermarket_first)).join(paying, "device_id", "left")  # one-row broadcast

@@ -39,25 +39,34 @@ def _time_bucket(ts: Column, minutes_wide: int) -> Column:
     return F.floor(minutes / F.lit(minutes_wide)).cast("long")
 
 
-def _bucket_sessions(df: DataFrame, keys: Sequence[str], ts: str, gap_minutes: int) -> DataFrame:
-    """One row per (key, bucket) with ``__start`` (1 where a session begins) and ``__sid``."""
-    rows = df.select(F.struct(*[F.col(k) for k in keys]).alias("__key"), F.col(ts).alias("__t"))
-    local = rows.groupBy("__key", _time_bucket(F.col("__t"), gap_minutes + 1).alias("__b")).agg(
+def bucket_rows(df: DataFrame, keys: Sequence[str], ts: str, gap_minutes: int) -> DataFrame:
+    """One row per key and time bucket: ``keys``, ``__b``, ``__begin``, ``__end``, ``__n``. Rows of two parts of the
+    data merge by taking the least begin, the greatest end and the sum (``merged_buckets``)."""
+    rows = df.select(*keys, F.col(ts).alias("__t"))
+    return rows.groupBy(*keys, _time_bucket(F.col("__t"), gap_minutes + 1).alias("__b")).agg(
         F.min("__t").alias("__begin"), F.max("__t").alias("__end"), F.count(F.lit(1)).alias("__n")
     )
-    w = Window.partitionBy("__key").orderBy("__begin")  # NULL, if any, comes first and is never near
+
+
+def merged_buckets(buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Bucket rows of several parts of the data as those of the whole."""
+    return buckets.groupBy(*keys, "__b").agg(F.min("__begin").alias("__begin"), F.max("__end").alias("__end"), F.sum("__n").alias("__n"))
+
+
+def _numbered(buckets: DataFrame, keys: Sequence[str], gap_minutes: int) -> DataFrame:
+    """Bucket rows with ``__start`` (1 where a session begins) and ``__sid``."""
+    w = Window.partitionBy(*keys).orderBy("__begin")  # NULL, if any, comes first and is never near
     prev_end = F.lag("__end").over(w)
     starts = (prev_end.isNull() | (whole_minutes(prev_end, F.col("__begin")) > F.lit(gap_minutes))).cast("int")
-    return local.withColumn("__start", starts).withColumn("__sid", F.sum("__start").over(w).cast("long"))
+    return buckets.withColumn("__start", starts).withColumn("__sid", F.sum("__start").over(w).cast("long"))
 
 
 def session_counts(df: DataFrame, keys: Sequence[str], ts: str = "timestamp", gap_minutes: int = 60) -> DataFrame:
     """One row per key: ``keys`` and ``n_sessions``. Counted where the buckets already sit
     partitioned by key, so no further shuffle is needed."""
-    local = _bucket_sessions(df, keys, ts, gap_minutes)
+    local = _numbered(bucket_rows(df, keys, ts, gap_minutes), keys, gap_minutes)
     sessions = F.when(F.col("__begin").isNull(), F.col("__n")).otherwise(F.col("__start"))
-    counts = local.groupBy("__key").agg(F.sum(sessions).alias("n_sessions"))
-    return counts.select(*[F.col("__key")[k].alias(k) for k in keys], "n_sessions")
+    return local.groupBy(*keys).agg(F.sum(sessions).alias("n_sessions"))
 
 
 def session_summary(df: DataFrame, keys: Sequence[str], ts: str = "timestamp", gap_minutes: int = 60) -> DataFrame:
@@ -65,8 +74,11 @@ def session_summary(df: DataFrame, keys: Sequence[str], ts: str = "timestamp", g
 
     Rows whose key columns are NULL form one key, as in ``PARTITION BY``.
     """
-    local = _bucket_sessions(df, keys, ts, gap_minutes)
-    sessions = local.groupBy("__key", "__sid").agg(
+    return sessions_of_buckets(bucket_rows(df, keys, ts, gap_minutes), keys, gap_minutes)
+
+
+def sessions_of_buckets(buckets: DataFrame, keys: Sequence[str], gap_minutes: int = 60) -> DataFrame:
+    """``session_summary`` from bucket rows (of ``bucket_rows`` with the same gap, merged)."""
+    return _numbered(buckets, keys, gap_minutes).groupBy(*keys, "__sid").agg(
         F.min("__begin").alias("session_begin"), F.max("__end").alias("session_end"), F.sum("__n").alias("n_rows")
-    )
-    return sessions.select(*[F.col("__key")[k].alias(k) for k in keys], "session_begin", "session_end", "n_rows")
+    ).drop("__sid")

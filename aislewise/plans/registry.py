@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aislewise.operators import entities, footfall, market, operations, presence, regression, sales, sketches
+from aislewise.operators import entities, footfall, incremental, market, operations, presence, regression, sales, sketches
 from aislewise.session import scratch_path
 from aislewise.sources import marts
 from aislewise.sources.tables import RetailTables, derive_from_driver_tables
@@ -73,10 +73,11 @@ def _on_driver_tables(op: Callable[[RetailTables], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {name: _on_driver_tables(op) for name, op in OPS.items()}
 
-# Answers from stored sketches, registered beside the exact ones.
+# Answers from stored summaries (sketches, bitmaps, merged parts), registered beside the direct ones.
 SKETCHES: dict[str, Query] = {
     "fences_from_sketches": _on_driver_tables(lambda t: sketches.yearly_fence_check(t.sales)),
     "visitors_from_bitmaps": _on_driver_tables(lambda t: presence.all_answers(t.geo, t.sales)),
+    "sessions_in_parts": lambda spark, sf_dir: incremental.sessions_in_parts(driver_tables(spark, sf_dir).geo, scratch_path(spark, "sessions")),
     "top_areas_from_sketches": _on_driver_tables(lambda t: sketches.top_areas(sketches.daily_area_sketches(t.geo))),
 }
 QUERIES.update(SKETCHES)
