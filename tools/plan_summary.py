@@ -1,8 +1,8 @@
 """Summarise the final (adaptive) physical plans of every registered query into PLANS.md.
 
 All executions of a query count, also those that run while it is built. For each query: shuffles
-by kind, broadcasts, nested-loop joins (always against a side of one row or of at most ``pivots``
-rows), scans and how many of them have pushed filters.
+by kind, broadcasts, nested-loop joins (always against a side of one row, or of one row a period),
+scans and how many of them have pushed filters.
 Usage: python tools/plan_summary.py [sf_dir] > PLANS.md
 """
 
@@ -53,7 +53,7 @@ def main() -> None:
     cols = list(rows[0][1])
     print(f"# Physical plans ({sf}, final AQE plans of all executions, local[*])\n")
     print("Generated by `tools/plan_summary.py`. Every nested-loop join has a broadcast side of one row")
-    print("(fence, totals, seniority minimum) or at most `pivots` rows (percentile buckets).\n")
+    print("(fence, totals, seniority minimum) or of one row for each period asked for.\n")
     print("| query | " + " | ".join(cols) + " |")
     print("|---|" + "---|" * len(cols))
     for name, s in rows:
