@@ -26,6 +26,15 @@ def test_merging_in_any_order():
     assert cut_sessions(np.array([], np.int64), 5) == [] and cut_sessions(np.array([0, 5]), 5) == [(0, 0, 1), (5, 5, 1)]
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """A stream keeps a state store for each shuffle partition: two are enough here."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def pings(seed, n, first, last):
     """Random pings of some devices between two hours, a null device and equal times included."""
     rng = random.Random(seed)
