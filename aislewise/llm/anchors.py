@@ -26,8 +26,16 @@ def _window_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
+def stretches(text: bytes, length: int, size: int = 1 << 20) -> list[tuple[int, bytes]]:
+    """A long text in stretches, with their places. They overlap by ``length - 1`` bytes, so that each start
+    with its string is in one of them; its anchor depends on its string alone, so it is the same."""
+    if len(text) <= size + length:
+        return [(0, text)]
+    return [(at, text[at : at + size + length - 1]) for at in range(0, len(text) - length + 1, size)]
+
+
 def anchors(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For all texts together (at most 64 MB): of each anchor the number of its text, its hash, its
+    """For all texts together (some megabytes; see ``stretches``): of each anchor the number of its text, its hash, its
     place, and the first and last start that belong to it, as places in the text."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     begins = np.cumsum(sizes) - sizes

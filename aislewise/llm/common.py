@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,12 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def default_tokenizer(name: str) -> str:
     """Place of a public tokenizer file. The operators take any path; this is the queries' default."""
-    try:
-        import public_tokenizers
-    except ImportError:
-        if "/opt" not in sys.path:
-            sys.path.append("/opt")
-        return f"/opt/tokenizers/{name}"
+    import public_tokenizers
+
     return public_tokenizers.path(name)
 
 
@@ -38,15 +35,27 @@ def columns_of(df: DataFrame, id_col: str, *cols: str) -> DataFrame:
     return df.select(df[id_col].alias("id"), *[df[c].alias(f"c{i}") for i, c in enumerate(cols)])
 
 
+def slices(batch: pa.RecordBatch, rows: int = 256, size: int = 1 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of up to ``rows`` rows and about ``size`` bytes of a text column; a longer text
+    is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < batch.num_rows:
+        done = int(ends[begin - 1]) if begin else 0
+        end = min(begin + rows, max(begin + 1, int(np.searchsorted(ends, done + size, side="right"))))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], dict]], schema: str, rows: int = 256) -> DataFrame:
     """Rows of ``df`` (first column the id, second a text) through ``make()(ids, texts)`` in slices
-    of ``rows`` rows. ``make`` runs once a task (it loads models); the result maps names to lists."""
+    of up to ``rows`` rows and about a megabyte. ``make`` runs once a task (it loads models); the result
+    maps names to lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in slices(batch, rows):
                 out = work(part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
@@ -55,9 +64,14 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], dict]], s
 
 
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
+    """The Arrow schema of what a task function returns. Operators call it as they build a pass of such a
+    function, so it also sees to the size of the batches: where the session leaves Spark's default of 10,000 rows an
+    Arrow batch, which may take hundreds of megabytes of texts on both sides of the pipe, it sets 1,000."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
@@ -74,17 +88,20 @@ def held_out(id_col: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-#: Bits of the map of ids. The table that holds it has at most ``2**(MAP_BITS - 6)`` rows.
-MAP_BITS = 22
+#: Least and most bits of the map of ids. The table that holds it has at most ``2**(bits - 6)`` rows, two
+#: million at most.
+MAP_BITS = (22, 27)
 
 
 def maybe_in(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
     """``df`` with a boolean column ``maybe``: false only if the value is not in ``ids`` (one column).
 
-    A bit map of hashed ids decides, which has at most 65,536 rows of two numbers however many ids
-    there are, so it is safe to broadcast. With very many ids it says true too often, never false
-    wrongly. A null is never in ``ids``."""
-    size = 1 << MAP_BITS
+    A bit map of hashed ids decides, with 16 bits or more for each row of ``ids`` up to 2**27 in all, so
+    that the broadcast table has at most two million rows of two numbers however many ids there are. It
+    says true for one other value in 16 at most up to eight million ids, and more often beyond, never false
+    wrongly; a caller then joins more rows than it needs. A null is never in ``ids``."""
+    bits = min(MAP_BITS[1], max(MAP_BITS[0], (16 * ids.count()).bit_length()))
+    size = 1 << bits
     slot = f"cast(pmod(xxhash64(`{ids.columns[0]}`), {size}) as int)"
     marks = ids.groupBy(F.expr(f"shiftright({slot}, 6)").alias("map_word")).agg(F.expr(f"bit_or(shiftleft(1L, {slot} & 63))").alias("map_bits"))
     out = df.withColumn("map_slot", F.expr(f"cast(pmod(xxhash64(`{col}`), {size}) as int)"))
@@ -93,25 +110,16 @@ def maybe_in(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
     return out.withColumn("maybe", found).drop("map_slot", "map_word", "map_bits")
 
 
-def without_ids(df: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose id is not in ``dropped`` (one column); rows with a null id stay. Only
-    rows that the bit map of dropped ids finds are shuffled; all others pass by."""
-    names = df.columns
-    renamed = df.toDF(*[f"in_{i}" for i in range(len(names))])
-    key = f"in_{names.index(id_col)}"
-    ids = dropped.select(F.col(dropped.columns[0]).alias("dropped_id")).where("dropped_id IS NOT NULL").distinct()
-    marked = maybe_in(renamed, key, ids)
-    sure = marked.where("NOT maybe").drop("maybe")
-    risky = marked.where("maybe").drop("maybe").join(ids, F.col(key) == F.col("dropped_id"), "left_anti")
-    return sure.unionByName(risky).toDF(*names)
-
-
 def chosen_by_hash(rows: DataFrame, key: str, each: int) -> DataFrame:
     """Of ``rows`` (``id`` and ``key``, without nulls) the ``each`` rows of every key with the least hashes
-    of their ids. The keys' counts give thresholds that about ``4 * each`` rows pass, so that no task
-    sorts more of a key, however many rows and partitions there are."""
-    counts = rows.groupBy(key).agg(F.count("*").alias("key_rows"))
+    of their ids. A key with over 1/10,000 of all rows (there are fewer than 10,000, so their counts are
+    broadcast) is thinned where its rows are, to about ``4 * each``; no other has more. So no task sorts
+    more of a key, however many rows and partitions there are."""
+    counts = written(rows.groupBy(key).agg(F.count("*").alias("key_rows")), "key-counts")
+    total = counts.agg(F.sum("key_rows")).first()[0] or 0
+    heavy = counts.where(F.col("key_rows") * 10_000 > total).withColumnRenamed(key, "heavy_key")
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    near = rows.join(counts, key).withColumn("place", place).where(F.col("place") * F.col("key_rows") <= F.lit(4 * each << 30))
+    near = rows.join(F.broadcast(heavy), F.col(key) == F.col("heavy_key"), "left").withColumn("place", place)
+    near = near.where(F.col("key_rows").isNull() | (F.col("place") * F.col("key_rows") <= F.lit(4 * each << 30)))
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("place", "id")))
     return ranked.where(F.col("rank") <= each).select("id", key)

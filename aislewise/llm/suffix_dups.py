@@ -21,7 +21,8 @@ agree for ``length`` bytes, so the starts are dealt into buckets by their anchor
    differently in each document) is not collected: its starts go by a digest of their strings into
    an aggregate that combines equal ones before the shuffle. Nothing is capped.
 
-Defined cases: null or empty texts, and texts shorter than ``length``, lose nothing; repeated rows of
+Defined cases: null or empty texts, and texts shorter than ``length``, lose nothing; very long texts are
+searched for anchors in overlapping stretches of a megabyte; repeated rows of
 one id are copies of each other under ``"none"``, and as one under ``"first"``; null ids are ids like
 any other and come first; empty input gives no rows; extra columns are ignored.
 """
@@ -36,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aislewise.llm.anchors import anchors
-from aislewise.llm.common import arrow_schema, maybe_in, written
+from aislewise.llm.anchors import anchors, stretches
+from aislewise.llm.common import arrow_schema, maybe_in, slices, written
 
 #: Rows of windows that are sorted at a time.
 SORTED_ROWS = 20_000
@@ -129,19 +130,23 @@ def _anchor_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            begin = 0
-            while begin < batch.num_rows:  # slices of about a megabyte
-                texts, size, end = [], 0, begin
-                while end < batch.num_rows and (size < 1 << 20 or end == begin):
-                    texts.append(batch.column(2)[end].as_py().encode())
-                    size += len(texts[-1])
-                    end += 1
-                owner, h, at, first, last = anchors(texts, length, gram)
-                digests = [int.from_bytes(hashlib.blake2b(texts[o][f : e + length], digest_size=8).digest(), "little", signed=True) for o, f, e in zip(owner.tolist(), first.tolist(), last.tolist(), strict=True)]
-                part = batch.slice(begin, end - begin)
-                take = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(h), pa.array(digests, pa.int64()), pa.array(at.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], schema=arrow)
-                begin = end
+            held, size = [], 0  # row, place and bytes of stretches, about a megabyte at a time
+            for i in range(batch.num_rows):
+                for at, part in stretches(batch.column(2)[i].as_py().encode(), length):
+                    held.append((i, at, part))
+                    size += len(part)
+                    if size >= 1 << 20:
+                        yield found(batch, held)
+                        held, size = [], 0
+            if held:
+                yield found(batch, held)
+
+    def found(batch, held):
+        owner, h, at, first, last = anchors([p for _, _, p in held], length, gram)
+        digests = [int.from_bytes(hashlib.blake2b(held[o][2][f : e + length], digest_size=8).digest(), "little", signed=True) for o, f, e in zip(owner.tolist(), first.tolist(), last.tolist(), strict=True)]
+        take, shift = (np.array([x[i] for x in held], np.int64)[owner] for i in (0, 1))
+        places = [pa.array((x + shift).astype(np.int32)) for x in (at, first, last)]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take)), batch.column(1).take(pa.array(take)), pa.array(h), pa.array(digests, pa.int64()), *places], schema=arrow)
 
     return rows.mapInArrow(run, schema)
 
@@ -200,7 +205,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     place = F.struct("id", "first")
     least = F.min(F.struct("id", "first", "t", "at", "last")).alias("rep")
     classes = runs.groupBy("h", "around").agg(F.count("*").alias("n"), least)
-    classes = written(classes.where("n IS NOT NULL"), "classes")
+    classes = written(classes, "classes")
     buckets = classes.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
     mixed = written(classes.join(buckets, "h").select("h", "around", "kinds", "rep.*"), "mixed")
 
@@ -235,9 +240,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
+            for part in slices(batch, 64):
                 out = []
-                for row in batch.slice(at, 64).to_pylist():
+                for row in part.to_pylist():
                     data, kept, spans, end = row["text"].encode(), [], [], 0
                     for c in sorted((c["first"], c["last"] + length) for c in row["cover"] or ()):
                         if spans and c[0] <= spans[-1]["end"]:

@@ -76,3 +76,30 @@ def test_odd_rows(odd_documents, no_documents):
     assert S.remove_repeats(no_documents).count() == 0
     with pytest.raises(ValueError):
         S.repeats(odd_documents, keep="last")
+
+
+def test_long_texts_in_stretches(spark, monkeypatch):
+    """Texts cut into stretches lose the same bytes as whole ones."""
+    from aislewise.llm import anchors, suffix_dups
+
+    rng = random.Random(12)
+    block = lambda n: "".join(rng.choice("abcd \n") for _ in range(n))
+    shared = [block(300), block(90), block(41)]
+    texts = [block(200) + shared[0] + block(150) + shared[1] + block(700), shared[0][50:] + block(500) + shared[2] + shared[1], block(900) + shared[2] + shared[2], "x" * 700]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {r["id"]: (r["n_removed"], bytes(r["kept"])) for r in S.remove_repeats(df, length=40, keep="none").collect()}
+    assert sum(n for n, _ in want.values()) > 1000
+    plain = anchors.stretches
+    for size in (64, 200):
+        monkeypatch.setattr(suffix_dups, "stretches", lambda t, length, size=size: plain(t, length, size))
+        assert {r["id"]: (r["n_removed"], bytes(r["kept"])) for r in S.remove_repeats(df, length=40, keep="none").collect()} == want
+
+
+def test_a_text_of_32_mb(spark):
+    """One very long text that repeats a passage of a short one."""
+    passage = " ".join(f"passage{i}" for i in range(60))
+    long = " ".join(f"n{i}" for i in range(2_000_000)) + passage + " ".join(f"m{i}" for i in range(2_000_000))
+    assert len(long) > 32_000_000 - 4_000_000
+    df = spark.createDataFrame([(1, long), (2, "before " + passage + " after"), (3, "short")], "doc_id long, text string")
+    got = {r["id"]: r["n_removed"] for r in S.remove_repeats(df).select("id", "n_removed").collect()}
+    assert got == {1: len(passage), 2: len(passage), 3: 0}
