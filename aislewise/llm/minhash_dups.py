@@ -19,7 +19,7 @@
 Copies are never paired: they share a class. Nothing of the documents goes to the driver but counts.
 
 Defined cases: null or empty texts have an empty set, are linked with nothing and are their own
-component; rows with null ids link like all others, but a null id names no component and is not
+component; very long texts are hashed in stretches of a megabyte; rows with null ids link like all others, but a null id names no component and is not
 ``kept``; repeated rows are copies: they share a component, and a repeated id is ``kept`` in each of its
 rows if it names the component; empty input gives no rows; extra columns are ignored. ``keep_one``
 decides by id and text, and keeps one row of each component whatever its ids.
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from aislewise.llm.common import arrow_schema, columns_of, maybe_in, written
+from aislewise.llm.common import arrow_schema, columns_of, maybe_in, slices, written
 from aislewise.llm.components import connected_components
 from aislewise.llm.shingles import U64, shingle_sets
 
@@ -76,8 +76,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, n_hashes:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _hash_functions(n_hashes)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for part in slices(batch, 128):
                 sets = shingle_sets([t or "" for t in part.column(1).to_pylist()], shingle)
                 yield pa.RecordBatch.from_pydict({"id": part.column(0).to_pylist(), "row_key": part.column(2).to_pylist(), "n_shingles": [len(s) for s in sets], "fp": [_fingerprint(s) if len(s) else None for s in sets], "sig": [signature(s, a, b) if len(s) else None for s in sets]}, schema=arrow)
 
@@ -95,8 +94,7 @@ def candidate_sets(df: DataFrame, id_col: str, text_col: str, shingle: int, want
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for part in slices(batch, 128):
                 sets = shingle_sets([t or "" for t in part.column(1).to_pylist()], shingle)
                 yield pa.RecordBatch.from_pydict({"id": part.column(0).to_pylist(), "fp": [_fingerprint(s) for s in sets], "items": [s.tobytes() for s in sets]}, schema=arrow)
 

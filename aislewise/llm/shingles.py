@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 U64 = np.uint64
@@ -55,10 +57,45 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, after)
 
 
+#: A longer text is hashed in stretches of about this size, which need some 50 bytes for each of theirs.
+STRETCH = 1 << 20
+_BLANKS = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _long_word(word: bytes) -> np.ndarray:
+    """The hash of one word of any length, as ``word_hashes`` gives it."""
+    total = 0
+    for at in range(0, len(word), STRETCH):
+        part = _LOWER[np.frombuffer(word[at : at + STRETCH], np.uint8)]
+        up, _ = Powers.to(len(part))
+        total += int((_BYTE[part] * up[: len(part)]).sum(dtype=U64)) * pow(_BASE, at, 1 << 64)
+    return mix(np.array([(total + len(word) * int(_ROLE[63])) & (1 << 64) - 1], U64))
+
+
+def _in_stretches(text: bytes) -> np.ndarray:
+    """Hashes of all words of a long text, cut at white space."""
+    out, begin = [], 0
+    while begin < len(text):
+        cut = _BLANKS.search(text, begin + STRETCH)
+        end = cut.start() if cut else len(text)
+        if end - begin > 2 * STRETCH:  # the last word of the stretch is longer than one
+            word = max(text.rfind(bytes([c]), begin, begin + STRETCH) for c in b"\x20\t\n\v\f\r") + 1 or begin
+            out += [word_hashes([text[begin:word]])[0], _long_word(text[max(word, begin) : end])]
+        else:
+            out.append(word_hashes([text[begin:end]])[0])
+        begin = end
+    return np.concatenate(out)
+
+
 def shingle_sets(texts: list[str], k: int = 5) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its ``k``-word shingles; fewer words make one
     shingle of them all, no word makes none."""
-    words, stops = word_hashes([t.encode() for t in texts])
+    data = [t.encode() for t in texts]
+    if any(len(t) > 2 * STRETCH for t in data):
+        parts = [_in_stretches(t) if len(t) > 2 * STRETCH else word_hashes([t])[0] for t in data]
+        words, stops = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+    else:
+        words, stops = word_hashes(data)
     n = max(0, len(words) - k + 1)
     runs = np.zeros(n, U64)
     for i in range(k):

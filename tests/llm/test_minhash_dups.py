@@ -121,3 +121,56 @@ def test_chain_through_null_ids(spark):
     rows = [(1, " ".join(w)), (None, " ".join(w + [f"x{i}" for i in range(24)])), (2, " ".join(w + [f"x{i}" for i in range(52)]))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r["doc_id"] for r in M.keep_one(df, percent=85).collect()] == [1]
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    """Hubs by broadcast and other nodes by a join, in one graph: stars, chains and cycles, in mixed order."""
+    import random
+
+    from aislewise.llm import components
+
+    monkeypatch.setattr(components, "HUBS", 20)
+    rng = random.Random(6)
+    edges = [(5, i) for i in range(1000, 1600)] + [(9000, i) for i in range(1500, 1700)] + [(i, i + 1) for i in range(2000, 2200)] + [(i, (i + 7) % 50 + 3000) for i in range(3000, 3050)]
+    edges += [(rng.randrange(4000, 4400), rng.randrange(4000, 4400)) for _ in range(350)]
+    edges = [rng.sample(e, 2) for e in edges]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        a, b = find(u), find(v)
+        root[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in list(root) if find(x) != x}
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame([tuple(e) for e in edges], "u long, v long")).collect()}
+    assert got == want
+
+
+def test_long_texts_in_stretches(monkeypatch):
+    """Stretches of any size give the hashes of the text as a whole, giant words included."""
+    import random
+
+    from aislewise.llm import shingles
+
+    rng = random.Random(8)
+    texts = [" ".join("x" * rng.choice([1, 3, 700, 40]) + str(rng.randrange(50)) for _ in range(300)) for _ in range(5)]
+    texts += ["y" * 5000, " " + "z" * 3000 + "\t\n" + "Z" * 4000 + " end ", "", "a b", " " * 4000]
+    want = [s.tolist() for s in shingles.shingle_sets(texts)]
+    for size in (64, 100, 999):
+        monkeypatch.setattr(shingles, "STRETCH", size)
+        assert [s.tolist() for s in shingles.shingle_sets(texts)] == want
+
+
+def test_a_text_of_32_mb_in_little_memory():
+    """Memory of a worker for one text of 32 MB: far below the 50 bytes for each that a stretch takes."""
+    import os
+    import subprocess
+    import sys
+
+    code = "import resource, sys; sys.path.insert(0, '.'); from aislewise.llm.shingles import shingle_sets; t = ' '.join(f'w{i}' for i in range(4_000_000)); before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; s = shingle_sets([t]); print(len(t), len(s[0]), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    size, n, mb = map(int, out.stdout.split())
+    assert size > 32_000_000 and n == 3_999_996 and mb < 600
