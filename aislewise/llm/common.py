@@ -88,19 +88,19 @@ def held_out(id_col: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-#: Least and most bits of the map of ids. The table that holds it has at most ``2**(bits - 6)`` rows, two
-#: million at most.
-MAP_BITS = (22, 27)
+#: Least and most bits of the map of ids. The table that holds it has at most ``2**(bits - 6)`` rows, half
+#: a million at most.
+MAP_BITS = (22, 25)
 
 
 def maybe_in(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
     """``df`` with a boolean column ``maybe``: false only if the value is not in ``ids`` (one column).
 
-    A bit map of hashed ids decides, with 16 bits or more for each row of ``ids`` up to 2**27 in all, so
-    that the broadcast table has at most two million rows of two numbers however many ids there are. It
-    says true for one other value in 16 at most up to eight million ids, and more often beyond, never false
+    A bit map of hashed ids decides, with 8 bits or more for each row of ``ids`` up to 2**25 in all, so
+    that the broadcast table has at most half a million rows of two numbers however many ids there are. It
+    says true for one other value in 8 at most up to four million ids, and more often beyond, never false
     wrongly; a caller then joins more rows than it needs. A null is never in ``ids``."""
-    bits = min(MAP_BITS[1], max(MAP_BITS[0], (16 * ids.count()).bit_length()))
+    bits = min(MAP_BITS[1], max(MAP_BITS[0], (8 * ids.count()).bit_length()))
     size = 1 << bits
     slot = f"cast(pmod(xxhash64(`{ids.columns[0]}`), {size}) as int)"
     marks = ids.groupBy(F.expr(f"shiftright({slot}, 6)").alias("map_word")).agg(F.expr(f"bit_or(shiftleft(1L, {slot} & 63))").alias("map_bits"))
