@@ -220,7 +220,7 @@ class Archives(InputPartition):
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict, arrow: pa.Schema):
         self.path, self.payload = options["path"], options.get("payload", "true").lower() == "true"
-        self.most, self.filters, self.arrow = int(options.get("maxpartitionbytes", 128 << 20)), [], arrow
+        self.most, self.filters, self.arrow = int(options.get("maxpartitionbytes", 32 << 20)), [], arrow
 
     def pushFilters(self, filters: list) -> Iterable:
         for f in filters:
@@ -279,7 +279,7 @@ class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.overwrite = options["path"], overwrite
         self.date = options.get("date") or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-        self.most, self.level = int(options.get("maxfilebytes", 128 << 20)), int(options.get("level", 6))
+        self.most, self.level = int(options.get("maxfilebytes", 32 << 20)), int(options.get("level", 6))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, root = _open(self.path)
