@@ -19,7 +19,8 @@ lengths are the positions. The patterns are written with possessive loops and be
 begins (or where the match before ended), which gives the same leftmost matches as the plain
 patterns but neither recursion nor repeated scans on long runs.
 
-Defined cases: a null or empty text has no spans; rows are judged by their texts, so repeated rows
+Defined cases: a null or empty text has no spans; very long texts take time in proportion to their words
+and spans; at equal begins the kinds' order decides; rows are judged by their texts, so repeated rows
 give equal results; null ids are kept; extra columns are ignored; empty
 input gives no rows.
 """
@@ -65,24 +66,35 @@ def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _positions(pattern: str, kind: str) -> str:
-    """SQL for all matches of a pattern (an SQL expression) in ``text`` as spans, in order. Running sums
-    go over groups of matches, so that no long array is copied for each match."""
-    found = f"regexp_extract_all(text, {pattern}, 0)"
-    pairs = f"zip_with(slice(split(text, {pattern}, -1), 1, size({found})), {found}, (a, b) -> named_struct('skip', length(a), 'n', length(b), 'm', b))"
-    groups = f"transform(sequence(0, greatest(size({found}) - 1, 0) div {_GROUP}), g -> slice({pairs}, g * {_GROUP} + 1, {_GROUP}))"
+def _pairs(pattern: str, column: str = "text") -> str:
+    """SQL for all matches of a pattern (an SQL expression) in order: what was skipped before each, its
+    length and itself. One pass to split and one to extract."""
+    both = f"zip_with(split({column}, {pattern}, -1), regexp_extract_all({column}, {pattern}, 0), (a, b) -> named_struct('skip', length(a), 'n', length(b), 'm', b))"
+    return f"filter({both}, x -> x.m IS NOT NULL)"
+
+
+def _groups(column: str) -> str:
+    """SQL for an array column in groups. The column is named twice, so that the optimizer leaves it in a
+    projection of its own and does not compute it again for each group."""
+    return f"transform(sequence(0, greatest(size({column}) - 1, 0) div {_GROUP}), g -> slice({column}, g * {_GROUP} + 1, {_GROUP}))"
+
+
+def _positions(pairs: str, kind: str) -> str:
+    """SQL for a column of pairs as spans. Running sums go over groups of matches, so that no long
+    array is copied for each match."""
     empty = f"cast(array() AS array<{_SPAN}>)"
     inner = f"""aggregate(g, named_struct('at', a.at, 'out', {empty}),
-        (s, x) -> named_struct('at', s.at + x.skip + x.n, 'out', concat(s.out, array(named_struct('kind', '{kind}', 'begin', s.at + x.skip, 'end', s.at + x.skip + x.n, 'value', x.m)))), s -> s.out)"""
-    return f"""flatten(aggregate({groups}, named_struct('at', 0, 'out', cast(array() AS array<array<{_SPAN}>>)),
-        (a, g) -> named_struct('at', a.at + aggregate(g, 0, (t, x) -> t + x.skip + x.n), 'out', concat(a.out, array({inner}))), a -> a.out))"""
+        (s, x) -> named_struct('at', s.at + x.skip + x.n, 'out', concat(s.out, array(named_struct('kind', '{kind}', 'begin', s.at + x.skip, 'end', s.at + x.skip + x.n, 'value', x.m)))),
+        s -> named_struct('at', s.at, 'out', concat(a.out, array(s.out))))"""
+    return f"aggregate({_groups(pairs)}, named_struct('at', 0, 'out', cast(array() AS array<array<{_SPAN}>>)), (a, g) -> {inner}, a -> flatten(a.out))"
 
 
-def base_spans() -> Column:
-    """Of a column ``text`` without nulls: the valid spans by kind, then begin."""
-    none = f"cast(array() AS array<{_SPAN}>)"
-    parts = [f"if({_NEEDS[k]}, filter({_positions(_sql(KINDS[k]), k)}, s -> {_VALID[k].replace('m rlike', 's.value rlike').replace('(m,', '(s.value,')}), {none})" for k in KINDS]
-    return F.expr(f"concat({', '.join(parts)})")
+def with_spans(df: DataFrame, name: str = "spans") -> DataFrame:
+    """``df`` (with a column ``text`` without nulls) and its valid spans by kind, then begin."""
+    none = "cast(array() AS array<struct<skip:int,n:int,m:string>>)"
+    matches = [F.expr(f"if({_NEEDS[k]}, {_pairs(_sql(KINDS[k]))}, {none})").alias(f"pairs_{k}") for k in KINDS]
+    parts = [f"filter({_positions(f'pairs_{k}', k)}, s -> {_VALID[k].replace('m rlike', 's.value rlike').replace('(m,', '(s.value,')})" for k in KINDS]
+    return df.select("*", *matches).withColumn(name, F.expr(f"concat({', '.join(parts)})")).drop(*[f"pairs_{k}" for k in KINDS])
 
 
 def _joined(spans: str) -> str:
@@ -97,7 +109,7 @@ def find_spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``text_key`` (a digest of the text), base ``spans`` and ``entities`` (their distinct
     values) of every row. Written once; the texts stay behind."""
     rows = df.select(df[id_col].alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
-    rows = rows.select("id", F.md5("text").alias("text_key"), base_spans().alias("spans"))
+    rows = with_spans(rows.select("id", "text", F.md5("text").alias("text_key"))).drop("text")
     entities = F.expr("array_distinct(transform(spans, s -> concat(s.kind, ':', lower(s.value))))")
     return written(rows.withColumn("entities", entities), "spans")
 
@@ -135,22 +147,34 @@ def disclosing_terms(df: DataFrame, spans: DataFrame, text_col: str, min_differe
     joint = pairs.where(F.col("different") >= min_different).join(near, "term")
     bits = lambda df: F.log2(F.col("joint") * F.lit(rows) / (F.col(df) * F.col("around")))
     joint = written(joint.where((F.col("joint") >= min_share * F.col("near")) & (bits("near") >= min_bits - slack)).select("term", "around", "joint"), "joint")
-    words = df.select(F.explode(F.expr(_terms(f"coalesce(`{text_col}`, '')"))).alias("term"))
-    counts = maybe_in(words, "term", joint.select("term")).where("maybe").groupBy("term").agg(F.count("*").alias("df"))
+    words = texts.select("text_key", F.explode(F.expr(_terms("text"))).alias("term"))
+    hits = written(maybe_in(words, "term", joint.select("term")).where("maybe").select("term", "text_key"), "hits")
+    counts = hits.groupBy("term").agg(F.count("*").alias("df"))
     chosen = joint.join(counts, "term").where((F.col("joint") >= min_share * F.col("df")) & (bits("df") >= min_bits))
     chosen = written(chosen.select("term").distinct(), "terms")
-    words = texts.select("text_key", F.explode(F.expr(_terms("text"))).alias("term"))
-    holds = maybe_in(words, "term", chosen).where("maybe").select("term", "text_key").join(chosen, "term", "left_semi")
+    holds = maybe_in(hits, "term", chosen).where("maybe").select("term", "text_key").distinct().join(chosen, "term", "left_semi")
     return chosen, written(holds, "holds")
 
 
 def term_spans(df: DataFrame, text_col: str, holds: DataFrame) -> DataFrame:
-    """``text_key`` and ``terms`` (spans of kind ``term``) of every text with a disclosing term. Only
-    texts that a bit map of their digests finds are shuffled."""
-    hits = holds.groupBy("text_key").agg(F.collect_set("term").alias("words"))  # words of one text
+    """``text_key`` and ``terms`` (spans of kind ``term``) of every text with a disclosing term. Texts that
+    a bit map of digests finds give their words where they are, in groups that know the place of their first;
+    only words that a bit map of terms finds get a place and are shuffled, and of copies once."""
     texts = df.select(F.coalesce(df[text_col], F.lit("")).alias("text")).withColumn("text_key", F.md5("text"))
-    some = maybe_in(texts, "text_key", hits.select("text_key")).where("maybe").select("text", "text_key").join(hits, "text_key").dropDuplicates(["text_key"])
-    return written(some.select("text_key", F.expr(f"filter({_positions(_sql(TERM), 'term')}, s -> array_contains(words, lower(s.value)))").alias("terms")), "term-spans")
+    some = maybe_in(texts, "text_key", holds.select("text_key").distinct()).where("maybe")
+    pattern = _sql(TERM)
+    some = some.select("text_key", F.expr(f"regexp_extract_all(text, {pattern}, 0) AS words"), F.expr(f"split(text, {pattern}, -1) AS skips"))
+    numbers = f"sequence(0, greatest(size(words) - 1, 0) div {_GROUP})"
+    some = some.select("text_key", F.expr(f"transform({numbers}, g -> named_struct('w', slice(words, g * {_GROUP} + 1, {_GROUP}), 's', slice(skips, g * {_GROUP} + 1, {_GROUP}))) AS parts"))
+    sums = "aggregate(transform(parts, p -> length(array_join(p.w, '')) + length(array_join(p.s, ''))), named_struct('at', 0, 'out', cast(array() AS array<int>)), (a, n) -> named_struct('at', a.at + n, 'out', concat(a.out, array(a.at))), a -> a.out)"
+    groups = some.withColumn("begins", F.expr(sums)).select("text_key", F.expr("inline(arrays_zip(parts, begins))"))
+    words = groups.select("text_key", F.col("begins").alias("at"), F.col("parts.w").alias("w"), F.col("parts.s").alias("s")).select("text_key", "at", "w", "s", F.expr("posexplode(w) AS (i, value)"))
+    rare = maybe_in(words.withColumn("term", F.lower("value")), "term", holds.select("term").distinct()).where("maybe")
+    begin = F.expr("at + length(array_join(slice(s, 1, i + 1), '')) + length(array_join(slice(w, 1, i), ''))")
+    rare = rare.select("text_key", "term", "value", begin.alias("begin")).dropDuplicates(["text_key", "begin"])
+    kept = rare.join(holds, ["text_key", "term"], "left_semi").withColumn("end", F.expr("begin + length(value)"))
+    terms = F.expr("array_sort(collect_list(named_struct('kind', 'term', 'begin', begin, 'end', end, 'value', value)))")  # of one text
+    return written(kept.groupBy("text_key").agg(terms.alias("terms")), "term-spans")
 
 
 _APART = "filter(terms, t -> NOT exists(spans, b -> t.begin < b.end AND b.begin < t.end))"
@@ -182,11 +206,20 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **th
     marked = maybe_in(rows, "text_key", terms.select("text_key"))
     plain = marked.where("NOT maybe").withColumn("terms", F.expr(f"cast(NULL AS array<{_SPAN}>)"))
     other = marked.where("maybe").join(terms, "text_key", "left")
-    rows = plain.unionByName(other).withColumn("spans", base_spans())
+    rows = with_spans(plain.unionByName(other))
+    cut = "array<struct<b:int,e:int,k:string>>"
     rows = rows.withColumn("cuts", F.expr(f"array_sort(transform(if(terms IS NULL, spans, concat(spans, {_APART})), s -> named_struct('b', s.begin, 'e', s.end, 'k', s.kind)))"))
-    merged = """aggregate(cuts, cast(array() AS array<struct<b:int,e:int,k:string>>), (a, x) -> if(size(a) > 0 AND x.b < element_at(a, -1).e,
-        concat(slice(a, 1, size(a) - 1), array(named_struct('b', element_at(a, -1).b, 'e', greatest(element_at(a, -1).e, x.e), 'k', element_at(a, -1).k))), concat(a, array(x))))"""
+    # Overlapping cuts become one; in groups, so that no long array is copied for each cut.
+    step = f"""aggregate(g, named_struct('last', a.last, 'done', cast(array() AS {cut})),
+        (s, x) -> if(s.last IS NOT NULL AND x.b < s.last.e, named_struct('last', named_struct('b', s.last.b, 'e', greatest(s.last.e, x.e), 'k', s.last.k), 'done', s.done),
+            named_struct('last', x, 'done', if(s.last IS NULL, s.done, concat(s.done, array(s.last))))),
+        s -> named_struct('last', s.last, 'out', concat(a.out, array(s.done))))"""
+    merged = f"aggregate({_groups('cuts')}, named_struct('last', cast(NULL AS struct<b:int,e:int,k:string>), 'out', cast(array() AS array<{cut}>)), (a, g) -> {step}, a -> concat(flatten(a.out), if(a.last IS NULL, cast(array() AS {cut}), array(a.last))))"
     rows = rows.withColumn("cuts", F.expr(f"if(size(cuts) < 2, cuts, {merged})"))
-    pieces = "transform(cuts, (s, i) -> concat(substring(text, if(i = 0, 0, cuts[greatest(i - 1, 0)].e) + 1, s.b - if(i = 0, 0, cuts[greatest(i - 1, 0)].e)), '[', upper(s.k), ']'))"
-    clean = F.expr(f"if(size(cuts) = 0, {text}, concat(array_join({pieces}, ''), substring(text, element_at(cuts, -1).e + 1)))")
+    # A group's stretch of text is taken out once, and its pieces from the stretch.
+    piece = "concat(substring(h.t, if(i = 0, 0, g[greatest(i - 1, 0)].e - h.o) + 1, s.b - if(i = 0, h.o, g[greatest(i - 1, 0)].e)), '[', upper(s.k), ']')"
+    held = "array(named_struct('t', substring(text, a.at + 1, element_at(g, -1).e - a.at), 'o', a.at))"
+    stretch = f"named_struct('at', element_at(g, -1).e, 'out', concat(a.out, transform({held}, h -> array_join(transform(g, (s, i) -> {piece}), ''))))"
+    pieces = f"aggregate({_groups('cuts')}, named_struct('at', 0, 'out', cast(array() AS array<string>)), (a, g) -> {stretch}, a -> concat(array_join(a.out, ''), substring(text, a.at + 1)))"
+    clean = F.expr(f"if(size(cuts) = 0, {text}, {pieces})")
     return rows.withColumn(text, clean).select(*[F.col(f"in_{i}").alias(n) for i, n in enumerate(names)])
