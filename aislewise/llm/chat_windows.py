@@ -56,7 +56,7 @@ def format_turn(role: str, text: str) -> tuple[str, int, int]:
 
 
 def _cost(turn: tuple[str, str, int]) -> int:
-    return max(1, turn[2])  # also of an empty turn, so that a window ends somewhere
+    return max(1, turn[2])  # whatever the counter says, so that a window ends somewhere
 
 
 def windows_of(turns: Iterator[tuple[str, str, int]], budget: int, history: int) -> Iterator[list[tuple[str, str, int, bool]]]:
@@ -125,7 +125,8 @@ def format_windows(df: DataFrame, make_counter: Callable[[], Callable[[list[str]
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
                     roles, texts = part.column(2).to_pylist(), part.column(3).to_pylist()
-                    yield from zip(part.column(0).to_pylist(), roles, texts, count(texts), strict=True)
+                    tokens = count([format_turn(r, t)[0] for r, t in zip(roles, texts, strict=True)])
+                    yield from zip(part.column(0).to_pylist(), roles, texts, tokens, strict=True)
 
         out = []
         for key, turns_of in _groups(rows()):
