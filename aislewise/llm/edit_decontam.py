@@ -9,12 +9,14 @@ Texts and items are compared in lower case with runs of white space as one blank
 ``end`` count characters of the text in that form.
 
 The items are a query set held against all rows. They are sent to the tasks in blocks of about
-``block_bytes`` bytes of text, one narrow pass over the documents for each block: neither the
-driver nor a task ever holds more, and no row is shuffled.
+``block_bytes`` bytes of text, one narrow pass over the documents for each block. With several blocks
+each pass's result is written before the next block is collected, so neither the driver nor a task
+holds more than one, and no row is shuffled.
 
 Defined cases: null or empty texts hold no item; null or blank items are found nowhere; repeated
 rows give their findings once each; items with equal texts are all reported; of several occurrences
-of an item in a text, the one with the least distance, then the first, is reported; extra columns
+of an item in a text, the one with the least distance, then the first, is reported; very long texts are
+searched whole, distances only around exact pieces; extra columns
 are ignored; empty tables give no rows.
 """
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aislewise.llm.common import arrow_schema, columns_of
+from aislewise.llm.common import arrow_schema, columns_of, written
 
 MAX_ERROR = 0.08
 BLOCK_BYTES = 4 << 20
@@ -132,13 +134,12 @@ class Matcher:
         return out
 
 
-def _blocks(items: DataFrame, item_id: str, item_text: str, block_bytes: int) -> Iterator[list[tuple]]:
+def _blocks(items: DataFrame, item_id: str, item_text: str, block_bytes: int) -> tuple[int, Iterator[list[tuple]]]:
+    """The number of blocks, and the blocks, each collected when it is asked for."""
     items = items.select(items[item_id].alias("k"), items[item_text].alias("t")).where("t IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = -(-total // block_bytes)
-    for i in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == i)
-        yield [(r["k"], r["t"]) for r in part.collect()]  # about block_bytes
+    n = -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes)
+    parts = (items if n == 1 else items.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == i) for i in range(n))
+    return n, ([(r["k"], r["t"]) for r in part.collect()] for part in parts)  # about block_bytes each
 
 
 def find_items(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_error: float = MAX_ERROR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -158,8 +159,11 @@ def find_items(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
         return run
 
     out = None
-    for block in _blocks(items, item_id, item_text, block_bytes):
+    n, blocks = _blocks(items, item_id, item_text, block_bytes)
+    for block in blocks:
         found = docs.mapInArrow(finder(block), schema)
+        if n > 1:  # written before the next block is collected
+            found = written(found, "found-items")
         out = found if out is None else out.unionByName(found)
     return out if out is not None else df.sparkSession.createDataFrame([], schema)
 
@@ -176,6 +180,9 @@ def keep_clean(df: DataFrame, items: DataFrame, text_col: str = "text", item_id:
 
         return run
 
-    for block in _blocks(items, item_id, item_text, block_bytes):
+    n, blocks = _blocks(items, item_id, item_text, block_bytes)
+    for block in blocks:
         df = df.mapInArrow(cleaner(block), df.schema)
+        if n > 1:
+            df = written(df, "clean")
     return df
