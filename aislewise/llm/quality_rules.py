@@ -6,8 +6,9 @@ A bounded sample of rows tells, for each rule, what it costs and how much it rej
 runs in descending order of rejections per second. A text is kept if no rule rejects it, so the
 order changes the cost and never the verdict.
 
-Defined cases: a null or empty text has no words and is rejected as too short; rows are judged one
-by one, so repeated rows and repeated or null ids give one result each; extra columns are ignored.
+Defined cases: a null or empty text has no words and is rejected as too short; very long
+texts are judged whole, a slice of their own; ties in the order of rules change no verdict;
+rows are judged one by one, so repeated rows and repeated or null ids give one result each; extra columns are ignored.
 """
 
 from __future__ import annotations

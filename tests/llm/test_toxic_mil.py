@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -30,6 +31,77 @@ def test_learns_sentences_from_document_labels():
         assert np.isclose(score, 1 - np.prod([1 - p for _, _, p in spans]))
 
 
+def plain_sentences(text):
+    """Sets of lower-case words of each sentence, by another way: split at the marks."""
+    out = [set()]
+    word = ""
+    for c in text.lower() + "\n":
+        if c.isalpha():
+            word += c
+            continue
+        if word:
+            out[-1].add(word)
+            word = ""
+        if c in ".!?\n|":
+            out.append(set())
+    return [s for s in out if s]
+
+
+def plain_log_likelihood(weights, bias, texts, labels, stands_for):
+    """Mean over documents of share * log P(label), both labels weighing the same."""
+    total = 0.0
+    for text, y, times in zip(texts, labels, stands_for, strict=True):
+        clean = 1.0
+        for words in plain_sentences(text):
+            z = bias + sum(weights.get(f, 0.0) for w in words for f in X.features(w))
+            clean *= (1 - 1 / (1 + math.exp(-z))) ** times
+        share = 0.5 / sum(labels) if y else 0.5 / (len(labels) - sum(labels))
+        total += share * math.log(1 - clean if y else clean)
+    return total
+
+
+def test_gradient_equals_differences():
+    """Three rounds of training against Adagrad on a numeric gradient of the plain likelihood."""
+    texts = ["you dimwit go. the river walks", "the green river. seven stones! walk", "a dimwit, a slimeball", "paper house | light and paper", "green green dimwit\nthe end", "seven"]
+    labels, stands = [1, 0, 1, 0, 1, 0], [1.0, 1.0, 1.0, 2.5, 1.0, 1.0]
+    used = sorted({f for t in texts for s in plain_sentences(t) for w in s for f in X.features(w)})
+    for rounds in (1, 3):
+        model = X.NoisyOr().fit(texts, labels, rounds=rounds, rate=0.5, decay=0.01, stands_for=stands)
+        w, bias = dict.fromkeys(used, 0.0), X.NoisyOr().bias
+        past, past_bias = dict.fromkeys(used, 1e-6), 1e-6
+        for _ in range(rounds):
+            eps = 1e-4
+            slope = lambda moved, by: (plain_log_likelihood(moved(eps), bias + by * eps, texts, labels, stands) - plain_log_likelihood(moved(-eps), bias - by * eps, texts, labels, stands)) / (2 * eps)  # noqa: E731, B023
+            grads = {f: slope(lambda e, f=f: w | {f: w[f] + e}, 0) - 0.01 * w[f] for f in used}  # noqa: B023
+            pull = slope(lambda e: w, 1)  # noqa: B023
+            for f, g in grads.items():
+                past[f] += g * g
+                w[f] += 0.5 * g / past[f] ** 0.5
+            past_bias += pull**2
+            bias += 0.5 * pull / past_bias**0.5
+        assert np.allclose([model.weights[f] for f in used], [w[f] for f in used], rtol=1e-3, atol=1e-6)
+        assert np.isclose(model.bias, bias, rtol=1e-4)
+
+
+def test_sentence_scores_equal_plain_ones():
+    model = X.NoisyOr()
+    rng = np.random.default_rng(4)
+    model.weights[:] = rng.normal(0, 1, len(model.weights))
+    model.bias = -1.5
+    scorer = X.Scorer(model)
+    for text in ["", "One. Two words here! the the THE\n| last", "é Ünï 12 x_y. ... ?", "no end " * 50, "İstanbul. ß"]:
+        score, spans = scorer.score(text)
+        plain, clean = [], 1.0
+        for words in plain_sentences(text.replace("İ", "i̇")):
+            z = model.bias + sum(model.weights[f] for w in words for f in X.features(w))
+            plain.append(1 / (1 + math.exp(-z)))
+            clean *= 1 - plain[-1]
+        with_words = [p for b, e, p in spans if any(c.isalpha() for c in text[b:e])]
+        if "İ" not in text:
+            assert np.allclose(with_words, plain)
+            assert np.isclose(score, 1 - np.prod([1 - p for _, _, p in spans]))
+
+
 def test_held_out_accuracy(spark):
     base = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{base}/labels.parquet")
