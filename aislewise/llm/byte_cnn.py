@@ -3,14 +3,15 @@
 Bytes are embedded; filters of several widths slide over a window of fixed length; the maximum of
 each filter over the window, after a ReLU, goes through one linear layer and a softmax. Training is
 minibatch Adam on windows of a bounded sample of labelled rows (``sample_rows``, split evenly over
-the languages, chosen by a hash of the id). All windows of a whole text are applied, and a text's
+the languages, chosen by a hash of the id; a few windows of each, spread over its whole text). All windows of a whole text are applied, and a text's
 probabilities are the windows' mean, weighted by their letters.
 
 For application, what a filter adds for a pair of bytes is looked up in a table of 65,536 rows.
 
 Defined cases: a null text or one without letters is ``und`` with score 0; a missing label or id is
 not learned from; with no labelled row everything is ``und``; rows are judged one by one, so repeated
-rows give equal results; extra columns are ignored.
+rows give equal results; of equal probabilities the first language by name counts; very long texts are applied
+whole, some 64 windows at a time; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -128,32 +129,45 @@ class ByteCNN:
         return s / s.sum(axis=1, keepdims=True)
 
 
-def training_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Column, sample_rows: int, chars: int = 4096) -> list[tuple[str, str]]:
-    """At most ``sample_rows`` (text, language) in all, as many of each language as there are, chosen by
-    a hash of the id. First ids are chosen, without texts; then those texts are read."""
+def spread_windows(text: bytes, n: int) -> list[bytes]:
+    """Up to ``n`` different windows at places spread over a whole text."""
+    count = max(1, -(-len(text) // WINDOW))
+    places = sorted({count * i // n for i in range(n)})
+    return [text[k * WINDOW : (k + 1) * WINDOW].ljust(WINDOW, b"\0") for k in places]
+
+
+def training_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Column, sample_rows: int, windows_each: int = 4) -> list[tuple[bytes, str]]:
+    """(window, language) of at most ``sample_rows`` texts, as many of each language as there are, chosen
+    by a hash of the id, and ``windows_each`` windows of each, spread over the whole text. First ids are chosen,
+    without texts; then those texts are read, and cut in tasks: only windows come to the driver."""
     rows = df.where(learn).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     n = rows.select("lang").distinct().count()
     if not n:
         return []
     chosen = chosen_by_hash(rows.select("id", "lang"), "lang", max(1, sample_rows // n)).orderBy("lang", "id").limit(sample_rows)
     ids = [r["id"] for r in chosen.select("id").collect()]
-    found = rows.where(F.col("id").isin(ids)).select(F.substring("text", 1, chars).alias("text"), "lang", "id").orderBy("id", "lang", "text").limit(2 * sample_rows)
-    return [(r["text"], r["lang"]) for r in found.collect()]
+    found = rows.where(F.col("id").isin(ids)).select(F.struct("id", "lang").alias("key"), "text")
+
+    def make():
+        def work(keys, texts):
+            parts = [spread_windows(t.encode(), windows_each) for t in texts]
+            return {"key": [k for k, p in zip(keys, parts, strict=True) for _ in p], "place": [i for p in parts for i in range(len(p))], "part": [w for p in parts for w in p]}
+
+        return work
+
+    kind = found.schema["key"].dataType.simpleString()
+    cut = map_texts(found, make, f"key {kind}, place int, part binary").orderBy("key", "place", "part").limit(2 * sample_rows * windows_each)
+    return [(bytes(r["part"]), r["key"]["lang"]) for r in cut.collect()]
 
 
-def train(sample: list[tuple[str, str]], epochs: int = 6, windows_each: int = 4) -> ByteCNN | None:
-    """A network from (text, language) pairs, a few windows of each text."""
+def train(sample: list[tuple[bytes, str]], epochs: int = 6) -> ByteCNN | None:
+    """A network from (window, language) pairs."""
     classes = sorted({lang for _, lang in sample})
     if not classes:
         return None
-    rows, y = [], []
-    for text, lang in sample:
-        x, _ = windows_of([text.encode()], WINDOW)
-        for k in sorted({len(x) * i // windows_each for i in range(windows_each)}):
-            rows.append(x[k])
-            y.append(classes.index(lang))
+    x = np.frombuffer(b"".join(w for w, _ in sample), np.uint8).reshape(-1, WINDOW)
     net = ByteCNN(classes)
-    net.train(np.array(rows), np.array(y), epochs)
+    net.train(x, np.array([classes.index(lang) for _, lang in sample]), epochs)
     return net
 
 

@@ -59,7 +59,17 @@ def test_odd_rows(odd_documents, no_documents):
     """Without labels everything is unknown."""
     rows = C.predict_languages(odd_documents).collect()
     assert len(rows) == 12 and {(r["lang_pred"], r["score"]) for r in rows} == {("und", 0.0)}
-    net = C.train([("the of and " * 20, "en"), ("der die das " * 20, "de")], epochs=2)
+    net = C.train([(w, lang) for t, lang in [("the of and " * 20, "en"), ("der die das " * 20, "de")] for w in C.spread_windows(t.encode(), 4)], epochs=2)
     found = {r["id"]: r["lang_pred"] for r in C.identify(odd_documents, net).collect()}
     assert found[1] == found[2] == found[3] == "und" and found[7] in ("en", "de")
     assert C.identify(no_documents, net).count() == 0 and C.predict_languages(no_documents).count() == 0
+
+
+def test_learns_from_the_whole_text(spark):
+    """Every text opens with the same long header: only what follows tells the languages apart."""
+    rows = [(i, "HEADER 000 " * 1500 + ("the river and the stone " if i % 2 else "der fluss und das haus ") * 2000, "en" if i % 2 else "de") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["id"]: r["lang_pred"] for r in C.predict_languages(docs).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+    windows = C.spread_windows(bytes(range(256)) * 16, 4)
+    assert len(windows) == 4 and all(len(w) == C.WINDOW for w in windows) and C.spread_windows(b"", 4) == [bytes(C.WINDOW)]
