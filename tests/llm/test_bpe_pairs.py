@@ -1,7 +1,9 @@
 import hashlib
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from aislewise.llm.bpe_pairs import PairIndexBPE, encode_texts
@@ -53,3 +55,20 @@ def test_odd_rows(odd_documents, no_documents, library):
     want = sorted(len(library.encode(r["text"] or "", add_special_tokens=False).ids) for r in odd_documents.collect())
     assert sorted(r["n_tokens"] for r in rows) == want
     assert encode_texts(no_documents, PATH).count() == 0
+
+
+@pytest.mark.parametrize("part", [1_500_000, 60, 1])
+def test_index_holds_every_word(library, monkeypatch, part):
+    """Repeated words are indexed at each of their places, not looked up: in parts of a block too."""
+    bpe, indexed = PairIndexBPE(PATH), []
+    plain = bpe.merge
+    monkeypatch.setattr(bpe, "merge", lambda codes: indexed.append(len(codes)) or plain(codes))
+    texts = ["the cat, the CAT's hat", "", "the cat the cat", " ", "İx <|endoftext|>the", "the " * 50, "aaaa aaaa"] * 3 + odd_texts()[:60]
+    ids, ends = bpe.encode_block(pa.array(texts), part)
+    parts = [x for t in texts for piece in re.split(r"[ \t\n\v\f\r]+", t) for x in bpe.special_in.split(piece) if x]
+    assert sum(indexed) == sum(1 if x in bpe.special else sum(map(len, bpe._pretokens(x))) for x in parts)
+    begin = 0
+    for text, end, read in zip(texts, ends.tolist(), bpe.decode_lists(ids, ends).to_pylist(), strict=True):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert ids[begin:end].tolist() == want and read == library.decode(want, skip_special_tokens=False)
+        begin = end
